@@ -6,9 +6,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.functions.names import ACTIVITY, INCLINE, SPEED
+from strideframe.functions.names import ACTIVITY, INCLINE, KEYS, SPEED, col
 from strideframe.operators.metrics import classification_scores, confusion_matrix, label_list, regression_scores
-from strideframe.plans.training import PREDICTION, with_target
+from strideframe.plans.training import PREDICTION, model_features, with_target
 from strideframe.sources.tables import append_ledger, path_parent, path_stem, read_features
 
 
@@ -41,7 +41,8 @@ def apply_model(
         raise ValueError(f"unknown feature {feature!r}")
     model = PipelineModel.load(model_path)
     rows = features if feature == ACTIVITY else with_target(features, feature)
-    predicted = model.transform(rows)
+    known = [c for c in rows.columns if c in KEYS]
+    predicted = model.transform(rows.select(*[col(c) for c in [*known, *model_features(model)]]))
     result: dict[str, DataFrame] = {}
     if feature == ACTIVITY:
         scores = classification_scores(predicted, feature, PREDICTION)

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +38,9 @@ from strideframe.sources.tables import run_record, write_importances, write_run
 SCALED = "_scaled "
 PREDICTION = "prediction"
 
+#: Classes of a one-vs-rest model trained at the same time.
+MAX_PARALLEL_FITS = 8
+
 
 def feature_columns(df: DataFrame) -> list[str]:
     """Columns of the design matrix: everything but keys, targets and the part."""
@@ -45,10 +48,16 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 
 def input_stages(features: Sequence[str], scaler: Mapping | None) -> list[Transformer]:
-    """Scaling (where a scaler is given) and assembly; they keep the training column order."""
+    """Scaling (where a scaler is given), assembly in training column order, and dropping the inputs.
+
+    The inputs go because one-vs-rest models cannot carry columns whose names hold dots.
+    """
     prefix = SCALED if scaler else ""
-    assembler = VectorAssembler(inputCols=[q(prefix + c) for c in features], outputCol="_features")
-    return ([scaler_stage(scaler, SCALED)] if scaler else []) + [assembler]
+    inputs = [q(prefix + c) for c in features]
+    used = [q(c) for c in features] + (inputs if scaler else [])
+    assembler = VectorAssembler(inputCols=inputs, outputCol="_features")
+    drop = SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(used)}) FROM __THIS__")
+    return ([scaler_stage(scaler, SCALED)] if scaler else []) + [assembler, drop]
 
 
 def _prepare(df: DataFrame, stages: Sequence[Transformer], keep: Sequence[str]) -> DataFrame:
@@ -77,7 +86,7 @@ def classifier_estimator(family: str, params: Mapping, n_classes: int, n_rows: i
         base = GBTClassifier(**boosting_params(dict(params)))
     else:
         raise ValueError(f"unknown model family {family!r}, expected one of {list(FAMILIES)}")
-    return OneVsRest(classifier=base, **columns)
+    return OneVsRest(classifier=base, parallelism=min(n_classes, MAX_PARALLEL_FITS), **columns)
 
 
 def fit_classifier(

@@ -133,10 +133,11 @@ def first_trial_channels(channels: DataFrame) -> list[str]:
     return sorted(r["label"] for r in channels.filter(F.col(TRIAL) == first).select("label").collect())
 
 
-def check_channels(channels: DataFrame, wanted: Sequence[str]) -> None:
+def check_channels(trials: DataFrame, channels: DataFrame, wanted: Sequence[str]) -> None:
     """Raise ``ValueError`` where a trial lacks a wanted channel; extra channels are dropped later."""
-    held = F.count(F.when(F.col("label").isin(list(wanted)), True))
-    short = channels.groupBy(TRIAL).agg(held.alias("_n")).filter(F.col("_n") < len(wanted)).orderBy(TRIAL).take(5)
+    held = channels.filter(F.col("label").isin(list(wanted))).groupBy(TRIAL).agg(F.count("*").alias("_n"))
+    counted = trials.select(TRIAL).join(held, TRIAL, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    short = counted.filter(F.col("_n") < len(wanted)).orderBy(TRIAL).take(5)
     if short:
         raise ValueError(f"trials {[r[TRIAL] for r in short]} lack some of the channels {list(wanted)}")
 
@@ -186,7 +187,7 @@ def ingest_trials(
     numbered = lookup_join(wanted, trials.select(*FILE_KEY, TRIAL), FILE_KEY, spread, "inner")
     held = materialise(trial_channels(numbered))
     columns = list(channels) if channels is not None else first_trial_channels(held)
-    check_channels(held, columns)
+    check_channels(trials, held, columns)
     wide = widen(numbered, columns, compat_time)
     trial_labels = materialise(with_labels(trials).select(TRIAL, ACTIVITY, INCLINE, SPEED))
     return lookup_join(wide, trial_labels, [TRIAL], [F.col(TIME)], "inner")
