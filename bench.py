@@ -18,6 +18,7 @@ HEADLINE = [
     "rolling_stats_arrow",
     "rolling_stats_blocked",
     "rolling_irregular",
+    "rolling_long_trials",
     "feature_extraction",
     "train_test_split",
     "train_test_split_strata",

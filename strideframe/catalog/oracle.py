@@ -165,13 +165,29 @@ WHERE r."TIME" > 8"""
 SCHEMA_CHECK = f"""WITH {INTERIM}
 SELECT "TRIAL", count(*) AS rows, min("TIME") AS first_time FROM interim WHERE "TIME" > 8 GROUP BY "TRIAL" """
 
-ROW_POSITION = """
-SELECT l_returnflag, l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_partkey,
-       row_number() OVER (PARTITION BY l_returnflag
-                          ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_partkey) - 1 AS position
+LINE_TIES = "l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax"
+
+ROW_POSITION = f"""
+SELECT l_returnflag, l_shipdate, {LINE_TIES},
+       row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, {LINE_TIES}) - 1 AS position
 FROM lineitem"""
 
 
+def _long_trials() -> str:
+    stats = ", ".join(
+        f"round({STAT_SQL[s]}({c}) OVER w, {4 if s == 'std' else 6}) AS {s}_{c}"
+        for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+        for s in FOUR
+    )
+    return f"""WITH lines AS (
+  SELECT ascii(l_returnflag) - 65 AS "TRIAL", *,
+         row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, {LINE_TIES}) - 1 AS "TIME" FROM lineitem),
+rolled AS (
+  SELECT "TRIAL", "TIME", {stats} FROM lines
+  WINDOW w AS (PARTITION BY "TRIAL" ORDER BY "TIME" RANGE BETWEEN 999 PRECEDING AND CURRENT ROW))
+SELECT * FROM rolled WHERE "TIME" > 998"""
+
+
 # --- split, balance, weights ------------------------------------------------------------------
 
 STRATUM = """coalesce("ACTIVITY", '') || '_' || coalesce(CAST("SPEED" AS VARCHAR), '') || '_'
@@ -373,6 +389,7 @@ ORACLE: dict[str, str] = {
     "rolling_stats_blocked": _rolling(FOUR),
     "rolling_first_last": _rolling(["first", "last"]),
     "rolling_irregular": IRREGULAR,
+    "rolling_long_trials": _long_trials(),
     "time_reset_check": TIME_RESET,
     "reattach_labels": REATTACH,
     "feature_extraction": EXTRACTION,

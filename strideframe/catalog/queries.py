@@ -22,11 +22,12 @@ from strideframe.plans import neural, scoring, training
 from strideframe.plans.workflow import run_workflow
 from strideframe.sources import recordings as rec
 from strideframe.sources.tables import append_ledger, read_ledger, write_features
-from strideframe.storage import materialise, scratch_path
+from strideframe.storage import scratch_path
 
 PERIOD = 10
 CHANNELS = ["accel_shank_l.x", "gyro_pelvis.z"]
 HOUR = 3_600_000
+FOUR = ["min", "max", "mean", "std"]
 
 
 def six(name: str) -> Column:
@@ -50,6 +51,14 @@ def rolling(method: str, stats: list[str]) -> Callable[[SparkSession, str], Data
     return query
 
 
+def rolling_long_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three trials that hold a third of the lines each, four channels, a window of 1,000 samples."""
+    data = tables.long_trials(spark, sf_dir)
+    rolled = rolling_stats(data, tables.LINE_CHANNELS, 1000, FOUR)
+    spread = [f"std_{c}" for c in tables.LINE_CHANNELS]
+    return rounded(rolled.withColumns({c: F.round(c, 4) for c in spread}))
+
+
 def rolling_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of two days over irregular times, with all rows kept."""
     data = tables.labelled(spark, sf_dir)
@@ -61,8 +70,8 @@ def rolling_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
 def time_reset_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd trials start late, so they are reported wherever the trial before them exists."""
     data = tables.signals(spark, sf_dir)
-    late = data.withColumn(TIME, F.col(TIME) + F.col(TRIAL) % 2 * 5)
-    return time_reset_offenders(late)
+    late = data.select(TRIAL, (F.col(TIME) + F.col(TRIAL) % 2 * 5).alias(TIME))
+    return time_reset_offenders(late.groupBy(TRIAL).agg(F.min(TIME).alias("first_time")))
 
 
 def reattach(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,11 +94,8 @@ def schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def row_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position of each line of a part in ship-date order: frame numbers for unnumbered rows."""
-    lines = tables.table(spark, sf_dir, "lineitem").select(
-        "l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey"
-    )
-    ties = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey"]
-    return row_position(lines, tables.epoch("l_shipdate", 1_000_000), "position", ["l_returnflag"], ties)
+    lines = tables.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_shipdate", *tables.LINE_TIES)
+    return row_position(lines, tables.epoch("l_shipdate", 1_000), "position", ["l_returnflag"], tables.LINE_TIES)
 
 
 # --- split, balance, weights ------------------------------------------------------------------
@@ -103,7 +109,7 @@ def stratum_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split(columns: list[str], train_size: float, gap: int) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         data = tables.labelled(spark, sf_dir)
-        parted = sequential_split(data, train_size, gap, columns, ["event_id"])
+        parted = sequential_split(data, train_size, gap, columns, ["event_id"], block_span=24 * HOUR)
         return parted.select(TRIAL, TIME, "event_id", ACTIVITY, "value", "part")
 
     return query
@@ -111,7 +117,7 @@ def split(columns: list[str], train_size: float, gap: int) -> Callable[[SparkSes
 
 def balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = tables.labelled(spark, sf_dir)
-    parted = sequential_split(data, 0.8, 5, [ACTIVITY], ["event_id"])
+    parted = sequential_split(data, 0.8, 5, [ACTIVITY], ["event_id"], block_span=24 * HOUR)
     return rounded(split_balance(parted, INCLINE, threshold=0.0001))
 
 
@@ -141,7 +147,7 @@ def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = tables.labelled(spark, sf_dir).withColumn("hour", F.floor(F.col(TIME) / HOUR % 24).cast("double"))
-    parted = sequential_split(data, 0.8, 5, [ACTIVITY], ["event_id"])
+    parted = sequential_split(data, 0.8, 5, [ACTIVITY], ["event_id"], block_span=24 * HOUR)
     scaler = fit_scaler(parted.filter(F.col("part") == TRAIN), ["value", "hour"])
     both = apply_scaler(parted.filter(F.col("part").isin(TRAIN, TEST)), scaler)
     return rounded(both.select("event_id", "part", "value", "hour"))
@@ -198,8 +204,8 @@ def channel_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def channel_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = rec.normalise_labels(tables.recordings(spark, sf_dir), MISSING)
-    kept = rec.select_samples(data, ["accel", "gyro"], ["foot sensor", "shank", "thigh"], ["y"])
+    data = tables.recordings(spark, sf_dir)
+    kept = rec.select_samples(data, MISSING, ["accel", "gyro"], ["foot sensor", "shank", "thigh"], ["y"])
     return kept.select("participant", "filename", "frame", "label", six("value"))
 
 
@@ -268,8 +274,9 @@ def model_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Split feature table with all rows, stored."""
-    return materialise(sequential_split(model_features(spark, sf_dir), 0.8, 5, [ACTIVITY]))
+    """Split feature table, stored."""
+    parted = sequential_split(model_features(spark, sf_dir), 0.8, 5, [ACTIVITY])
+    return write_features(parted, scratch_path(spark, "parts"))
 
 
 def _part(df: DataFrame, name: str) -> DataFrame:
@@ -343,14 +350,13 @@ def workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-FOUR = ["min", "max", "mean", "std"]
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rolling_stats": rolling("plain", FOUR),
     "rolling_stats_arrow": rolling("arrow", FOUR),
     "rolling_stats_blocked": rolling("blocked", FOUR),
     "rolling_first_last": rolling("arrow", ["first", "last"]),
     "rolling_irregular": rolling_irregular,
+    "rolling_long_trials": rolling_long_trials,
     "time_reset_check": time_reset_check,
     "reattach_labels": reattach,
     "feature_extraction": extraction,

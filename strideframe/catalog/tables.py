@@ -22,6 +22,9 @@ STATISTICS = ["max", "min", "mean", "std"]
 MEASURES = ["global angle", "highg", "accel", "gyro", "mag"]
 PLACES = ["pelvis", "foot_l", "foot_r", "shank_l", "shank_r", "thigh_l", "thigh_r"]
 
+LINE_CHANNELS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINE_TIES = ["l_orderkey", "l_linenumber", "l_partkey", *LINE_CHANNELS]
+
 #: Recordings the embedding rows are dealt to.
 RECORDINGS = 24
 
@@ -78,6 +81,14 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as samples of three long trials, one per return flag, in ship-date order."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        (F.ascii("l_returnflag") - 65).alias(TRIAL), "l_shipdate", *LINE_TIES
+    )
+    return row_position(lines, epoch("l_shipdate", 1_000), TIME, [TRIAL], LINE_TIES)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as files of participants, with some folders and files that do not count."""
     key, customer = F.col("o_orderkey"), F.col("o_custkey")

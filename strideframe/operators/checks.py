@@ -12,37 +12,45 @@ from strideframe.functions.names import LABELS, TIME, TRIAL, col
 from strideframe.storage import lookup_join, materialise
 
 
-def time_reset_offenders(df: DataFrame) -> DataFrame:
+def trial_facts(df: DataFrame, columns: Sequence[str] = LABELS, ties: Sequence[str] = ()) -> DataFrame:
+    """One row per trial: its first TIME and the labels of its last sample.
+
+    A partial aggregate over a few columns, so a hot trial is reduced before the shuffle.
+    """
+    last = F.max_by(F.struct(*[col(c) for c in columns]), F.struct(F.col(TIME), *[col(t) for t in ties]))
+    facts = df.groupBy(TRIAL).agg(F.min(TIME).cast("long").alias("first_time"), last.alias("_labels"))
+    return facts.select(TRIAL, "first_time", "_labels.*")
+
+
+def time_reset_offenders(starts: DataFrame) -> DataFrame:
     """Trials that follow trial ``n - 1`` but do not start at TIME 0, with their first TIME.
 
-    The first TIME per trial is a partial aggregate, and the predecessor is found by an equi-join,
-    so neither a hot trial nor a long list of trials meets a single task.
+    ``starts`` holds ``first_time`` per trial. The predecessor is found by an equi-join, so a long
+    list of trials does not meet a single task.
     """
-    starts = df.groupBy(TRIAL).agg(F.min(TIME).cast("long").alias("first_time"))
-    followers = starts.select((F.col(TRIAL) + 1).cast(df.schema[TRIAL].dataType).alias(TRIAL))
-    return starts.filter("first_time <> 0").join(followers, TRIAL, "left_semi")
+    followers = starts.select((F.col(TRIAL) + 1).cast(starts.schema[TRIAL].dataType).alias(TRIAL))
+    late = starts.filter("first_time <> 0").select(TRIAL, "first_time")
+    return late.join(followers, TRIAL, "left_semi")
 
 
-def check_time_resets(df: DataFrame) -> None:
+def check_time_resets(starts: DataFrame) -> None:
     """Raise ``ValueError`` unless TIME restarts at 0 wherever TRIAL steps by one."""
-    bad = time_reset_offenders(df).orderBy(TRIAL).take(5)
+    bad = time_reset_offenders(starts).orderBy(TRIAL).take(5)
     if bad:
         shown = ", ".join(f"trial {r[TRIAL]} starts at {r['first_time']}" for r in bad)
         raise ValueError(f"TIME does not reset to 0 when TRIAL increases by 1: {shown}")
 
 
-def trial_labels(df: DataFrame, columns: Sequence[str] = LABELS, ties: Sequence[str] = ()) -> DataFrame:
-    """One row per trial with the labels of its last sample."""
-    last = F.max_by(F.struct(*[col(c) for c in columns]), F.struct(F.col(TIME), *[col(t) for t in ties]))
-    return df.groupBy(TRIAL).agg(last.alias("_labels")).select(TRIAL, "_labels.*")
-
-
 def reattach_labels(
     features: DataFrame, samples: DataFrame, columns: Sequence[str] = LABELS, ties: Sequence[str] = ()
 ) -> DataFrame:
     """Add each trial's labels, taken from its samples, to the feature rows."""
-    labels = materialise(trial_labels(samples, columns, ties))
-    return lookup_join(features, labels, [TRIAL], [F.col(TIME)], "inner")
+    return join_facts(features, materialise(trial_facts(samples, columns, ties)))
+
+
+def join_facts(features: DataFrame, facts: DataFrame) -> DataFrame:
+    """Look up the labels of each row's trial."""
+    return lookup_join(features, facts.drop("first_time"), [TRIAL], [F.col(TIME)], "inner")
 
 
 def schema_difference(df: DataFrame, expected: T.StructType) -> list[tuple[str, str]]:

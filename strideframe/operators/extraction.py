@@ -13,9 +13,11 @@ from strideframe.operators.checks import (
     check_time_resets,
     feature_schema,
     full_channel_list,
-    reattach_labels,
+    join_facts,
+    trial_facts,
 )
 from strideframe.operators.rolling import DEFAULT_STATS, rolling_stats
+from strideframe.storage import materialise
 
 
 def feature_extraction(
@@ -30,11 +32,15 @@ def feature_extraction(
 
     Raises ``ValueError`` where TIME does not restart with a trial, or, with ``validate_schema``,
     where the result is not the table of the full sensor set.
+
+    The interim table is read twice: a few columns for the per-trial facts, then all channels for
+    the windows, which shuffle once. Labels are looked up without another shuffle.
     """
     channels = [c for c in channel_columns(df.columns) if c not in ties]
-    check_time_resets(df)
+    facts = materialise(trial_facts(df, ties=ties))
+    check_time_resets(facts)
     rolled = rolling_stats(df, channels, period, stats, ties=ties, method=method)
-    labelled = reattach_labels(rolled, df, ties=ties)
+    labelled = join_facts(rolled, facts)
     features = labelled.select(
         col(TRIAL).cast("int").alias(TRIAL),
         F.col(TIME).cast("long").alias(TIME),

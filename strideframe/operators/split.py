@@ -11,7 +11,7 @@ from strideframe.functions.names import ACTIVITY, TIME, TRIAL, col
 from strideframe.functions.strata import stratum_key
 from strideframe.storage import lookup_join, materialise
 
-#: Milliseconds of a trial whose rows are counted together.
+#: Milliseconds of a trial whose rows are counted together: a minute of samples.
 BLOCK_SPAN = 65_536
 #: Trials whose counts are summed together.
 TRIAL_SPAN = 1_024
@@ -26,6 +26,7 @@ def sequential_split(
     strata: Sequence[str] = (ACTIVITY,),
     ties: Sequence[str] = (),
     out: str = "part",
+    block_span: int = BLOCK_SPAN,
 ) -> DataFrame:
     """Add ``out``: ``train``, ``test`` or ``gap`` for each row, in (TRIAL, TIME, ties) order.
 
@@ -37,13 +38,15 @@ def sequential_split(
     No row is numbered to find its part. Rows are counted per (stratum, trial, block of TIME), the
     counts give the block in which a boundary falls, and only the rows of those blocks - two per
     stratum - are numbered. Every other row just compares its (TRIAL, TIME, ties) with its
-    stratum's boundary rows, so the wide table is neither shuffled nor sorted.
+    stratum's boundary rows, so the wide table is neither shuffled nor sorted. ``block_span`` is
+    the length of a block in units of TIME: long enough to hold many rows, short enough to sort.
+    Without ``ties`` rows of equal (TRIAL, TIME) go to the same part.
     """
     if not 0 <= train_size <= 1:
         raise ValueError(f"train_size must be between 0 and 1, but got {train_size}.")
 
     keyed = df.withColumn("_key", stratum_key(strata)).filter("_key is not null")
-    block = F.floor(F.col(TIME) / F.lit(BLOCK_SPAN)).cast("long")
+    block = F.floor(F.col(TIME) / F.lit(block_span)).cast("long")
     order = [TRIAL, TIME, *ties]
     narrow = keyed.select("_key", *[col(c) for c in order]).withColumn("_block", block)
 
@@ -118,12 +121,12 @@ def _boundary_rows(
     )
     positions = cuts.select("_key", F.explode(wanted).alias("_p")).select("_key", "_p.which", "_p.at")
     inside = (F.col("at") >= F.col("_from")) & (F.col("at") < F.col("_from") + F.col("_rows"))
-    in_trial = trials.join(positions, "_key").filter(inside)
-    in_trial = in_trial.select("_key", TRIAL, "which", (F.col("at") - F.col("_from")).alias("_place"))
+    in_trial = lookup_join(trials, positions, ["_key"], [F.col(TRIAL)], "inner").filter(inside)
+    in_trial = materialise(in_trial.select("_key", TRIAL, "which", (F.col("at") - F.col("_from")).alias("_place")))
 
     earlier = Window.partitionBy("_key", TRIAL, "which").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     in_block = (
-        blocks.join(in_trial, ["_key", TRIAL])
+        lookup_join(blocks, in_trial, ["_key", TRIAL], [F.col("_block")], "inner")
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .filter((F.col("_place") >= F.col("_before")) & (F.col("_place") < F.col("_before") + F.col("_n")))
         .select("_key", TRIAL, "_block", "which", (F.col("_place") - F.col("_before") + 1).alias("_nth"))

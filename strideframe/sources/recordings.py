@@ -26,6 +26,7 @@ from strideframe.operators.positions import sorted_index
 from strideframe.storage import lookup_join, materialise
 
 FILE_KEY = ["participant", "filename"]
+PAIR = ["participant", "label"]
 
 
 def read_recordings(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
@@ -96,33 +97,65 @@ def number_trials(files: DataFrame, skip: Sequence[int] = ()) -> DataFrame:
     return numbered.select(*FILE_KEY, "participant_no", F.col("_index").cast("int").alias(TRIAL))
 
 
+def normalised(
+    label: Column, participant: Column, missing_locations: Mapping[int, str] | None, measures: Sequence[str]
+) -> Column:
+    """Lower-cased label, with the location this participant's labels lack."""
+    lowered = F.lower(label)
+    if not missing_locations:
+        return lowered
+    # One entry per participant folder, of which the name pattern allows a hundred.
+    entries = [F.lit(x) for pair in missing_locations.items() for x in pair]
+    return fill_location(lowered, F.create_map(*entries)[labels.participant_number(participant)], measures)
+
+
+def label_names(
+    pairs: DataFrame,
+    missing_locations: Mapping[int, str] | None = None,
+    measures: Sequence[str] = MEASURES,
+    locations: Sequence[str] | None = None,
+    dimensions: Sequence[str] = DIMENSIONS,
+) -> DataFrame:
+    """(participant, label, name) of distinct (participant, label) pairs.
+
+    With ``locations`` only wanted channels are kept and their names are tidied, else every label
+    keeps its normalised name. Names are worked out once per pair, not once per sample.
+    """
+    name = normalised(F.col("label"), F.col("participant"), missing_locations, measures)
+    named = pairs.select("participant", "label", name.alias("name"))
+    if locations is None:
+        return named
+    kept = named.filter(is_selected(F.col("name"), measures, locations, dimensions))
+    return kept.withColumn("name", tidy_label(F.col("name")))
+
+
+def _pairs(samples: DataFrame) -> DataFrame:
+    """Distinct pairs, materialised so that name tests are not pushed down to the samples."""
+    return materialise(samples.select(*PAIR).distinct())
+
+
+def _rename(samples: DataFrame, names: DataFrame) -> DataFrame:
+    spread = [F.col("filename"), F.col("frame")]
+    renamed = lookup_join(samples, materialise(names), PAIR, spread, "inner")
+    return renamed.select(*[F.col("name").alias(c) if c == "label" else col(c) for c in samples.columns])
+
+
 def normalise_labels(
     samples: DataFrame, missing_locations: Mapping[int, str] | None = None, measures: Sequence[str] = MEASURES
 ) -> DataFrame:
     """Lower-case channel labels and name the location a participant's labels lack."""
-    lowered = F.lower(F.col("label"))
-    if missing_locations:
-        # One entry per participant folder, of which the name pattern allows a hundred.
-        entries = [F.lit(x) for pair in missing_locations.items() for x in pair]
-        location = F.create_map(*entries)[labels.participant_number(F.col("participant"))]
-        lowered = fill_location(lowered, location, measures)
-    return samples.withColumn("label", lowered)
+    return _rename(samples, label_names(_pairs(samples), missing_locations, measures))
 
 
 def select_samples(
     samples: DataFrame,
+    missing_locations: Mapping[int, str] | None = None,
     measures: Sequence[str] = MEASURES,
     locations: Sequence[str] = LOCATIONS,
     dimensions: Sequence[str] = DIMENSIONS,
 ) -> DataFrame:
-    """Keep wanted channels of normalised samples and tidy their names."""
-    kept = samples.filter(is_selected(F.col("label"), measures, locations, dimensions))
-    return kept.withColumn("label", tidy_label(F.col("label")))
-
-
-def trial_channels(samples: DataFrame) -> DataFrame:
-    """Distinct (TRIAL, label) pairs of numbered samples."""
-    return samples.select(TRIAL, "label").distinct()
+    """Samples of the wanted channels, under their normalised and tidied names."""
+    return _rename(samples, label_names(_pairs(samples), missing_locations, measures, locations, dimensions))
 
 
 def first_trial_channels(channels: DataFrame) -> list[str]:
@@ -130,12 +163,12 @@ def first_trial_channels(channels: DataFrame) -> list[str]:
     first = channels.agg(F.min(TRIAL)).first()[0]
     if first is None:
         return []
-    return sorted(r["label"] for r in channels.filter(F.col(TRIAL) == first).select("label").collect())
+    return sorted(r["name"] for r in channels.filter(F.col(TRIAL) == first).select("name").collect())
 
 
 def check_channels(trials: DataFrame, channels: DataFrame, wanted: Sequence[str]) -> None:
     """Raise ``ValueError`` where a trial lacks a wanted channel; extra channels are dropped later."""
-    held = channels.filter(F.col("label").isin(list(wanted))).groupBy(TRIAL).agg(F.count("*").alias("_n"))
+    held = channels.filter(F.col("name").isin(list(wanted))).groupBy(TRIAL).agg(F.count("*").alias("_n"))
     counted = trials.select(TRIAL).join(held, TRIAL, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     short = counted.filter(F.col("_n") < len(wanted)).orderBy(TRIAL).take(5)
     if short:
@@ -145,18 +178,14 @@ def check_channels(trials: DataFrame, channels: DataFrame, wanted: Sequence[str]
 def widen(samples: DataFrame, channels: Sequence[str], compat_time: bool = False) -> DataFrame:
     """One row per (TRIAL, frame) with a column per channel; NaN samples become NULL.
 
-    Labels become column numbers first, then the samples of a frame become one map. The maps are
-    built before the shuffle too, and wide rows come into being only behind it. (A conditional
-    aggregate per channel generates code too large to compile, and a pivot shuffles its wide
-    buffers.) A label that a frame holds twice is an error.
+    ``samples`` name their channel by its number ``_i``. The samples of a frame become one map; the
+    maps are built before the shuffle too, and wide rows come into being only behind it. (A
+    conditional aggregate per channel generates code too large to compile, and a pivot shuffles its
+    wide buffers.) A channel that a frame holds twice is an error.
     """
-    # As many rows as the table has columns.
-    numbers = samples.sparkSession.createDataFrame([(c, i) for i, c in enumerate(channels)], "label string, _i int")
     value = F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double"))
-    frames = (
-        samples.join(F.broadcast(numbers), "label")
-        .groupBy(TRIAL, "frame", "rate")
-        .agg(F.map_from_entries(F.collect_list(F.struct("_i", value.alias("v")))).alias("_samples"))
+    frames = samples.groupBy(TRIAL, "frame", "rate").agg(
+        F.map_from_entries(F.collect_list(F.struct("_i", value.alias("v")))).alias("_samples")
     )
     wide = frames.select(TRIAL, "frame", "rate", *[F.col("_samples")[i].alias(c) for i, c in enumerate(channels)])
     time = labels.time_ms(F.col("frame"), F.col("rate"), compat_time)
@@ -178,17 +207,27 @@ def ingest_trials(
     Columns: TRIAL, TIME, one per channel (those of the first trial unless given), ACTIVITY,
     INCLINE, SPEED. Later trials are laid on those columns: extra ones are dropped, a missing one
     is an error.
+
+    Two passes: the first reads only the distinct (participant, filename, label) and settles trial
+    numbers, channel names and columns on that small table; the second reads the samples, looks up
+    two numbers per sample and shuffles once by (TRIAL, frame).
     """
-    files = materialise(samples.select(*FILE_KEY).distinct())
-    participants(files, skip_participants)
-    trials = materialise(number_trials(files, skip_participants))
-    wanted = select_samples(normalise_labels(samples, missing_locations, measures), measures, locations, dimensions)
-    spread = [F.col("frame"), F.col("label")]
-    numbered = lookup_join(wanted, trials.select(*FILE_KEY, TRIAL), FILE_KEY, spread, "inner")
-    held = materialise(trial_channels(numbered))
+    contents = materialise(samples.select(*FILE_KEY, "label").distinct())
+    participants(contents, skip_participants)
+    trials = materialise(number_trials(contents, skip_participants))
+    pairs = contents.select(*PAIR).distinct()
+    names = materialise(label_names(pairs, missing_locations, measures, locations, dimensions))
+    held = materialise(contents.join(trials, FILE_KEY).join(names, PAIR).select(TRIAL, "name").distinct())
     columns = list(channels) if channels is not None else first_trial_channels(held)
     check_channels(trials, held, columns)
-    wide = widen(numbered, columns, compat_time)
+
+    # As many rows as the table has columns.
+    places = samples.sparkSession.createDataFrame([(c, i) for i, c in enumerate(columns)], "name string, _i int")
+    numbers = materialise(names.join(F.broadcast(places), "name").select(*PAIR, "_i"))
+    spread = [F.col("frame"), F.col("value")]
+    wanted = lookup_join(samples, numbers, PAIR, spread, "inner")
+    wanted = lookup_join(wanted, trials.select(*FILE_KEY, TRIAL), FILE_KEY, spread, "inner")
+    wide = widen(wanted, columns, compat_time)
     trial_labels = materialise(with_labels(trials).select(TRIAL, ACTIVITY, INCLINE, SPEED))
     return lookup_join(wide, trial_labels, [TRIAL], [F.col(TIME)], "inner")
 

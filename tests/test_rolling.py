@@ -13,6 +13,7 @@ from strideframe.operators.checks import (
     full_channel_list,
     reattach_labels,
     schema_difference,
+    trial_facts,
 )
 from strideframe.operators.extraction import feature_extraction
 from strideframe.operators.rolling import CHUNK_SPAN, rolling_stats
@@ -58,11 +59,11 @@ def test_extraction_of_three_trials(spark, method):
 def test_time_must_reset(spark):
     df = trials(spark).withColumn("TIME", F.when(F.col("TRIAL") == 2, F.col("TIME") + 3).otherwise(F.col("TIME")))
     with pytest.raises(ValueError, match="trial 2 starts at 3"):
-        check_time_resets(df)
+        check_time_resets(trial_facts(df))
     with pytest.raises(ValueError):
         feature_extraction(df, 3, validate_schema=False)
     # Without trial 1 before it, trial 2 is not checked.
-    check_time_resets(df.filter("TRIAL <> 1"))
+    check_time_resets(trial_facts(df.filter("TRIAL <> 1")))
 
 
 def brute(rows, period, stat):
