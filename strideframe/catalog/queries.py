@@ -336,6 +336,11 @@ def mlp_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return losses
 
 
+def network_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The network's whole job on the stored feature table."""
+    return neural.train_network(model_features(spark, sf_dir), None, PERIOD, 0.8, (32,), (32, 64))[1]
+
+
 def workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings to a trained family."""
     return run_workflow(
@@ -399,5 +404,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "apply_model": apply_model,
     "mlp_classifier": mlp_classifier,
     "mlp_grid_search": mlp_grid_search,
+    "network_run": network_run,
     "workflow": workflow,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.names import ACTIVITY, TIME, TRIAL, col
 from strideframe.functions.strata import stratum_key
-from strideframe.storage import lookup_join, materialise
+from strideframe.storage import lookup_join, materialise, serialised_bytes
 
 #: Milliseconds of a trial whose rows are counted together: a minute of samples.
 BLOCK_SPAN = 65_536
@@ -121,22 +121,21 @@ def _boundary_rows(
     )
     positions = cuts.select("_key", F.explode(wanted).alias("_p")).select("_key", "_p.which", "_p.at")
     inside = (F.col("at") >= F.col("_from")) & (F.col("at") < F.col("_from") + F.col("_rows"))
-    in_trial = lookup_join(trials, positions, ["_key"], [F.col(TRIAL)], "inner").filter(inside)
-    in_trial = materialise(in_trial.select("_key", TRIAL, "which", (F.col("at") - F.col("_from")).alias("_place")))
+    # Every table of boundaries has at most two rows per stratum, some numbers wider than these.
+    size = 4 * serialised_bytes(positions)
+    in_trial = lookup_join(trials, positions, ["_key"], [F.col(TRIAL)], "inner", size=size).filter(inside)
+    in_trial = in_trial.select("_key", TRIAL, "which", (F.col("at") - F.col("_from")).alias("_place"))
 
     earlier = Window.partitionBy("_key", TRIAL, "which").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     in_block = (
-        lookup_join(blocks, in_trial, ["_key", TRIAL], [F.col("_block")], "inner")
+        lookup_join(blocks, in_trial, ["_key", TRIAL], [F.col("_block")], "inner", size=size)
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .filter((F.col("_place") >= F.col("_before")) & (F.col("_place") < F.col("_before") + F.col("_n")))
         .select("_key", TRIAL, "_block", "which", (F.col("_place") - F.col("_before") + 1).alias("_nth"))
     )
-
-    # At most two rows per stratum; broadcast only if that is measured to be small.
-    spots = materialise(in_block)
     numbered = Window.partitionBy("_key", TRIAL, "_block", "which").orderBy(*[col(c) for c in order])
     hits = (
-        lookup_join(narrow, spots, ["_key", TRIAL, "_block"], [F.col(TIME)], "inner")
+        lookup_join(narrow, in_block, ["_key", TRIAL, "_block"], [F.col(TIME)], "inner", size=size)
         .withColumn("_number", F.row_number().over(numbered))
         .filter("_number = _nth")
         .withColumn("_row", _row_key(order))

@@ -26,22 +26,22 @@ FAMILIES = ("LR", "RF", "LGBM")
 
 def forest_params(params: dict) -> dict:
     return {
-        "numTrees": params["n_estimators"],
+        "numTrees": params.get("n_estimators", 100),
         "maxDepth": params["max_depth"],
-        "featureSubsetStrategy": str(params["max_features"]),
-        "minInstancesPerNode": params["min_samples_leaf"],
-        "bootstrap": params["bootstrap"],
+        "featureSubsetStrategy": str(params.get("max_features", "auto")),
+        "minInstancesPerNode": params.get("min_samples_leaf", 1),
+        "bootstrap": params.get("bootstrap", True),
         "seed": params.get("random_state", SEED),
     }
 
 
 def boosting_params(params: dict) -> dict:
     return {
-        "maxIter": params["n_estimators"],
+        "maxIter": params.get("n_estimators", 100),
         "maxDepth": params["max_depth"],
-        "subsamplingRate": params["bagging_fraction"],
-        "featureSubsetStrategy": str(params["feature_fraction"]),
-        "maxBins": params["max_bin"],
-        "minInstancesPerNode": params["min_data_in_leaf"],
+        "subsamplingRate": params.get("bagging_fraction", 1.0),
+        "featureSubsetStrategy": str(params.get("feature_fraction", "all")),
+        "maxBins": params.get("max_bin", 255),
+        "minInstancesPerNode": params.get("min_data_in_leaf", 20),
         "seed": params.get("random_state", SEED),
     }

@@ -10,11 +10,15 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from strideframe.functions.names import ACTIVITY
+from strideframe.functions.names import ACTIVITY, col, schema_components
+from strideframe.operators.metrics import classification_scores
 from strideframe.operators.scale import fit_scaler
+from strideframe.operators.split import TEST, TRAIN, sequential_split
 from strideframe.plans.hyperparameters import SEED
-from strideframe.plans.training import PREDICTION, encode_labels, feature_columns, input_stages
+from strideframe.plans.training import PREDICTION, encode_labels, feature_columns, input_stages, prepare
+from strideframe.sources.tables import run_record, write_run
 
 
 def fit_mlp(
@@ -30,9 +34,7 @@ def fit_mlp(
     scaler = fit_scaler(train, features)
     stages = input_stages(features, scaler)
     indexer = encode_labels(train, label)
-    prepared = indexer.transform(train)
-    for stage in stages:
-        prepared = stage.transform(prepared)
+    prepared = prepare(indexer.transform(train), stages, ["_label"]).persist()
     network = MultilayerPerceptronClassifier(
         layers=[len(features), neurons1, neurons2, len(indexer.labels)],
         maxIter=epochs,
@@ -41,7 +43,10 @@ def fit_mlp(
         labelCol="_label",
         predictionCol="_prediction",
     )
-    fitted = network.fit(prepared.select("_features", "_label"))
+    try:
+        fitted = network.fit(prepared)
+    finally:
+        prepared.unpersist()
     names = IndexToString(inputCol="_prediction", outputCol=PREDICTION, labels=indexer.labels)
     return PipelineModel([*stages, fitted, names])
 
@@ -75,3 +80,37 @@ def mlp_grid_search(
         rows.append((neurons1, neurons2, float(loss)))
     losses = train.sparkSession.createDataFrame(rows, "units1 int, units2 int, val_loss double")
     return best[1], losses.orderBy("val_loss", "units1", "units2")
+
+
+def train_network(
+    features: DataFrame,
+    output_dir: str | None = None,
+    window: int = 800,
+    split: float = 0.8,
+    units1: Sequence[int] = (32, 128, 512),
+    units2: Sequence[int] = (32, 128, 512),
+    epochs: int = 10,
+    ties: Sequence[str] = (),
+) -> tuple[PipelineModel, DataFrame]:
+    """Split by activity, search the layer sizes, score the best network: (model, run record).
+
+    With ``output_dir`` the model and the record are written below ``output_dir/neural_net``.
+    """
+    columns = [c for c in features.columns if c not in ties]
+    parted = sequential_split(features, split, window, [ACTIVITY], ties)
+    parted = parted.select(*[col(c) for c in columns], "part").persist()
+    try:
+        train, held_out = (parted.filter(F.col("part") == part) for part in (TRAIN, TEST))
+        model, losses = mlp_grid_search(train, held_out, units1, units2, epochs)
+        best = losses.first()
+        scores = classification_scores(model.transform(held_out), ACTIVITY, PREDICTION).first()
+    finally:
+        parted.unpersist()
+    hyperparams = {"units1": best["units1"], "units2": best["units2"]}
+    params = {"window": window, "split": split, **schema_components(columns), "hyperparams": hyperparams}
+    run = run_record(features.sparkSession, "neural_net", {"activity": scores["accuracy"]}, params)
+    if output_dir is not None:
+        base = f"{output_dir.rstrip('/')}/neural_net"
+        model.write().overwrite().save(f"{base}/activity")
+        write_run(run, f"{base}/output")
+    return model, run

@@ -60,7 +60,8 @@ def input_stages(features: Sequence[str], scaler: Mapping | None) -> list[Transf
     return ([scaler_stage(scaler, SCALED)] if scaler else []) + [assembler, drop]
 
 
-def _prepare(df: DataFrame, stages: Sequence[Transformer], keep: Sequence[str]) -> DataFrame:
+def prepare(df: DataFrame, stages: Sequence[Transformer], keep: Sequence[str]) -> DataFrame:
+    """Assembled features and the kept columns: all a learner reads."""
     for stage in stages:
         df = stage.transform(df)
     return df.select("_features", *keep)
@@ -103,7 +104,7 @@ def fit_classifier(
     indexer = encode_labels(train, label)
     stages = input_stages(features, scaler)
     indexed = indexer.transform(with_class_weights(train, label))
-    prepared = _prepare(indexed, stages, ["_label", "weight"]).persist()
+    prepared = prepare(indexed, stages, ["_label", "weight"]).persist()
     try:
         fitted = classifier_estimator(family, params, len(indexer.labels), prepared.count()).fit(prepared)
     finally:
@@ -140,7 +141,7 @@ def fit_regressor(
     params = HYPERPARAMETERS[family] if params is None else params
     features = list(features) if features is not None else feature_columns(train)
     stages = input_stages(features, scaler)
-    prepared = _prepare(with_target(train, target), stages, [target]).persist()
+    prepared = prepare(with_target(train, target), stages, [target]).persist()
     try:
         fitted = regressor_estimator(family, params, target).fit(prepared)
     finally:

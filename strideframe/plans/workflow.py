@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from strideframe.operators.extraction import feature_extraction
 from strideframe.plans.hyperparameters import FAMILIES
@@ -22,6 +22,11 @@ DIMENSIONS = ("z",)
 STATS = ("min", "max")
 
 
+def extract_features(spark: SparkSession, input_path: str, output_path: str, period: int = 300) -> DataFrame:
+    """Stored interim table of the full sensor set to a stored feature table, with all four statistics."""
+    return write_features(feature_extraction(read_features(spark, input_path), period), output_path)
+
+
 def run_workflow(
     samples: DataFrame,
     output_dir: str,

@@ -54,10 +54,10 @@ def participants(files: DataFrame, skip: Sequence[int] = ()) -> DataFrame:
 
     Raises ``ValueError`` where no folder has such a name.
     """
-    found = files.select("participant").distinct().withColumn(
-        "participant_no", labels.participant_number(F.col("participant"))
-    )
-    found = materialise(found.filter("participant_no is not null"))
+    # Materialised, so that names are tested once per participant and not once per sample.
+    found = materialise(files.select("participant").distinct())
+    found = found.withColumn("participant_no", labels.participant_number(F.col("participant")))
+    found = found.filter("participant_no is not null")
     if found.isEmpty():
         raise ValueError("No valid participant directories found. Expected format: 'Pxx' or 'Px'.")
     return found.filter(_not_skipped(skip)).orderBy("participant_no", "participant")
@@ -91,7 +91,7 @@ def number_trials(files: DataFrame, skip: Sequence[int] = ()) -> DataFrame:
     ``files`` holds a row for every file that has samples (any number of rows per file), so an
     empty recording takes no number.
     """
-    recordings = trial_files(files.select(*FILE_KEY).distinct(), skip)
+    recordings = trial_files(materialise(files.select(*FILE_KEY).distinct()), skip)
     order = [F.col("participant_no"), F.col("participant"), F.col("filename")]
     numbered = sorted_index(recordings, order, "_index")
     return numbered.select(*FILE_KEY, "participant_no", F.col("_index").cast("int").alias(TRIAL))

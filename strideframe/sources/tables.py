@@ -73,6 +73,11 @@ def run_record(spark: SparkSession, run_name: str, score: Mapping, params: Mappi
 SCORE_NAMES = ("activity", "activity_weighted", "speed_r2", "speed_rmse", "incline_r2", "incline_rmse")
 
 
+def read_hyperparameters(spark: SparkSession, path: str) -> dict[str, dict]:
+    """``{family: {setting: value}}`` from one JSON object; settings Spark's learners lack do no harm."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
 def path_stem(path: Column) -> Column:
     """Last part of a path without its suffix."""
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")

@@ -62,16 +62,18 @@ def lookup_join(
     spread_by: list[Column],
     how: str = "left",
     max_bytes: int | None = None,
+    size: int | None = None,
 ) -> DataFrame:
-    """Join many ``rows`` with a ``table`` holding one row per key.
+    """Join many ``rows`` with a ``table`` holding few rows per key.
 
-    ``table`` must be materialised. Its size is measured: below ``max_bytes`` it is broadcast and
-    the rows stay where they are. Above, the table is copied ``LOOKUP_SALTS`` times and the rows
-    of a key are spread over the copies by a hash of ``spread_by``, so that one hot key does not
-    end up in one task. Both ways give the same rows.
+    The table's size is measured (``table`` is then best materialised), or given where a bound is
+    already known: below ``max_bytes`` it is broadcast and the rows stay where they are. Above, the
+    table is copied ``LOOKUP_SALTS`` times and the rows of a key are spread over the copies by a
+    hash of ``spread_by``, so that one hot key does not end up in one task. Both ways give the same
+    rows.
     """
     limit = BROADCAST_BYTES if max_bytes is None else max_bytes
-    if serialised_bytes(table) <= limit:
+    if (serialised_bytes(table) if size is None else size) <= limit:
         return rows.join(F.broadcast(table), on, how)
     salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))))
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(LOOKUP_SALTS)).cast("int"))

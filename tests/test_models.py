@@ -1,16 +1,20 @@
 """Models by contract: what comes out, that they learn, that they survive saving."""
 
+import json
+
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from strideframe.functions.names import ACTIVITY, SPEED
+from strideframe.operators.checks import full_channel_list
 from strideframe.operators.metrics import classification_scores, regression_scores
 from strideframe.operators.scale import fit_scaler
 from strideframe.operators.split import sequential_split
 from strideframe.plans import neural, scoring, training
-from strideframe.plans.workflow import run_workflow
-from strideframe.sources.tables import read_ledger, read_run
+from strideframe.plans.hyperparameters import boosting_params
+from strideframe.plans.workflow import extract_features, run_workflow
+from strideframe.sources.tables import read_hyperparameters, read_ledger, read_run
 
 SMALL = {
     "LR": {},
@@ -130,6 +134,44 @@ def test_network_and_its_search(parted):
     assert scores["accuracy"] > 0.9
 
 
+def test_network_job(spark, features, tmp_path):
+    _, run = neural.train_network(features, str(tmp_path), 5, 0.7, (8,), (8,), epochs=30)
+    row = run.first()
+    assert row["score"]["activity"] > 0.9
+    assert row["score"]["speed_r2"] is None
+    assert row["params"]["hyperparams"] == {"units1": "8", "units2": "8"}
+    saved = PipelineModel.load(f"{tmp_path}/neural_net/activity")
+    assert training.model_features(saved) == ["max_accel_shank_l.x", "min_gyro_pelvis.z"]
+
+
+def test_hyperparameters_from_json(spark, tmp_path):
+    path = tmp_path / "h.json"
+    path.write_text(json.dumps({"LGBM": {"max_depth": 3, "extra_trees": True, "min_data_in_leaf": 50}}))
+    params = read_hyperparameters(spark, str(path))["LGBM"]
+    assert boosting_params(params)["maxIter"] == 100
+    assert boosting_params(params)["minInstancesPerNode"] == 50
+
+
+def test_features_of_the_full_sensor_set(spark, tmp_path):
+    channels = full_channel_list()
+    rows = spark.range(12).select(
+        (F.col("id") % 2).cast("int").alias("TRIAL"),
+        F.floor(F.col("id") / 2).alias("TIME"),
+        *[(F.col("id") * (i + 1)).cast("double").alias(c) for i, c in enumerate(channels)],
+        F.lit("walk").alias("ACTIVITY"),
+        F.lit(1.5).cast("float").alias("SPEED"),
+        F.lit(2).cast("smallint").alias("INCLINE"),
+    )
+    rows.write.parquet(str(tmp_path / "interim"))
+    features = extract_features(spark, str(tmp_path / "interim"), str(tmp_path / "features"), 4)
+    assert len(features.columns) == 433
+    row = features.filter("TRIAL = 1 AND TIME = 5").first()
+    # Values 5, 7, 9, 11 times the channel's place.
+    last = channels[-1]
+    assert (row[f"min_{last}"], row[f"max_{last}"], row[f"mean_{last}"]) == (5 * 107, 11 * 107, 8 * 107)
+    assert row[f"std_{last}"] == pytest.approx(107 * (20 / 3) ** 0.5)
+
+
 def test_workflow_from_recordings(spark, tmp_path):
     """Two trials, five channels, as in an end-to-end run of the whole job."""
     labels = ["accel_shank_l.x", "accel_shank_l.y", "mag_foot_r.x", "mag_foot_r.y", "gyro_pelvis.z"]
