@@ -63,7 +63,8 @@ def rolling_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of two days over irregular times, with all rows kept."""
     data = tables.labelled(spark, sf_dir)
     stats = ["min", "max", "mean", "std", "first", "last"]
-    rolled = rolling_stats(data, ["value"], 48 * HOUR, stats, ["event_id"], ["event_id"], full_windows=False)
+    days = 48 * HOUR
+    rolled = rolling_stats(data, ["value"], days, stats, ["event_id"], ["event_id"], full_windows=False, chunk_span=days)
     return rounded(rolled)
 
 
@@ -109,7 +110,7 @@ def stratum_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split(columns: list[str], train_size: float, gap: int) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         data = tables.labelled(spark, sf_dir)
-        parted = sequential_split(data, train_size, gap, columns, ["event_id"], block_span=24 * HOUR)
+        parted = sequential_split(data, train_size, gap, columns, ["event_id"])
         return parted.select(TRIAL, TIME, "event_id", ACTIVITY, "value", "part")
 
     return query
@@ -117,7 +118,7 @@ def split(columns: list[str], train_size: float, gap: int) -> Callable[[SparkSes
 
 def balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = tables.labelled(spark, sf_dir)
-    parted = sequential_split(data, 0.8, 5, [ACTIVITY], ["event_id"], block_span=24 * HOUR)
+    parted = sequential_split(data, 0.8, 5, [ACTIVITY], ["event_id"])
     return rounded(split_balance(parted, INCLINE, threshold=0.0001))
 
 
@@ -147,7 +148,7 @@ def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = tables.labelled(spark, sf_dir).withColumn("hour", F.floor(F.col(TIME) / HOUR % 24).cast("double"))
-    parted = sequential_split(data, 0.8, 5, [ACTIVITY], ["event_id"], block_span=24 * HOUR)
+    parted = sequential_split(data, 0.8, 5, [ACTIVITY], ["event_id"])
     scaler = fit_scaler(parted.filter(F.col("part") == TRAIN), ["value", "hour"])
     both = apply_scaler(parted.filter(F.col("part").isin(TRAIN, TEST)), scaler)
     return rounded(both.select("event_id", "part", "value", "hour"))

@@ -15,13 +15,13 @@ from strideframe.storage import materialise
 def default_ranges(df: DataFrame) -> int:
     """Order ranges of a running sum: four per shuffle partition, so a range is a fraction of a task."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(4 * partitions, 20_000))
+    return max(8, min(4 * partitions, 5_000))
 
 
 def _order_ranges(orders: DataFrame, ranges: int) -> Bucketizer:
     """Cut the order axis at its approximate quantiles; the driver gets ``ranges`` numbers."""
     steps = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(orders.approxQuantile("_order", steps, max(1 / (4 * ranges), 1e-4)))) or [0.0]
+    cuts = sorted(set(orders.approxQuantile("_order", steps, 1 / (4 * ranges)))) or [0.0]
     inner = [c for c in cuts if abs(c) != float("inf")] or [0.0]
     return Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="_order", outputCol="_range")
 

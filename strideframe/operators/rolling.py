@@ -36,6 +36,7 @@ def rolling_stats(
     keep: Sequence[str] = (),
     full_windows: bool = True,
     method: str = "arrow",
+    chunk_span: int | None = None,
 ) -> DataFrame:
     """``{stat}_{channel}`` over the frame ``(t - period, t]`` on integer TIME, per TRIAL.
 
@@ -48,6 +49,8 @@ def rolling_stats(
     ``arrow`` lets Spark shuffle and sort the chunks and computes the frames on whole Arrow batches;
     ``plain`` uses Spark's moving frame, which reads a whole frame per row: right for short periods;
     ``blocked`` stays in the JVM and takes time linear in the rows whatever the period.
+    ``chunk_span``, in units of TIME, is rounded up to whole periods; set it where samples are much
+    denser or sparser than one per unit, as a chunk and the period before it meet in one task.
     """
     unknown = [s for s in stats if s not in STATS]
     if unknown:
@@ -60,7 +63,7 @@ def rolling_stats(
 
     needed = list(dict.fromkeys([TRIAL, TIME, *ties, *keep, *channels]))
     samples = df.select(*[_sample(c) if c in channels else col(c) for c in needed])
-    chunked = _with_chunks(samples, period)
+    chunked = _with_chunks(samples, period, chunk_span or max(CHUNK_SPAN, CHUNK_PERIODS * period))
     result = methods[method](chunked, list(channels), period, list(stats), list(ties), full_windows)
     out = [feature_name(stat, channel) for channel in channels for stat in stats]
     head = list(dict.fromkeys([TRIAL, TIME, *keep]))
@@ -72,9 +75,9 @@ def _sample(channel: str) -> Column:
     return F.nanvl(col(channel).cast("double"), F.lit(None).cast("double")).alias(channel)
 
 
-def _with_chunks(df: DataFrame, period: int) -> DataFrame:
+def _with_chunks(df: DataFrame, period: int, chunk_span: int) -> DataFrame:
     """Copy each chunk's last ``period - 1`` milliseconds into the next chunk, then shuffle once."""
-    span = period * max(CHUNK_PERIODS, -(-CHUNK_SPAN // period))
+    span = period * max(1, -(-chunk_span // period))
     chunk = F.floor(F.col(TIME) / F.lit(span)).cast("long")
     in_tail = F.pmod(F.col(TIME), F.lit(span)) > span - period
     places = F.when(in_tail, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))

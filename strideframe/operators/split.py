@@ -11,8 +11,10 @@ from strideframe.functions.names import ACTIVITY, TIME, TRIAL, col
 from strideframe.functions.strata import stratum_key
 from strideframe.storage import lookup_join, materialise, serialised_bytes
 
-#: Milliseconds of a trial whose rows are counted together: a minute of samples.
-BLOCK_SPAN = 65_536
+#: Rows around a boundary that are put in order; a wider stretch of TIME is narrowed down first.
+ORDERED_ROWS = 1_000_000
+#: Cells a stretch of TIME is cut into when it is narrowed down.
+CELLS = 1_024
 #: Trials whose counts are summed together.
 TRIAL_SPAN = 1_024
 
@@ -26,7 +28,6 @@ def sequential_split(
     strata: Sequence[str] = (ACTIVITY,),
     ties: Sequence[str] = (),
     out: str = "part",
-    block_span: int = BLOCK_SPAN,
 ) -> DataFrame:
     """Add ``out``: ``train``, ``test`` or ``gap`` for each row, in (TRIAL, TIME, ties) order.
 
@@ -35,29 +36,31 @@ def sequential_split(
     ``gap`` rows behind the cut go to neither part. Rows whose single stratum column is NULL are
     dropped; of several columns NULL counts as an empty text.
 
-    No row is numbered to find its part. Rows are counted per (stratum, trial, block of TIME), the
-    counts give the block in which a boundary falls, and only the rows of those blocks - two per
-    stratum - are numbered. Every other row just compares its (TRIAL, TIME, ties) with its
-    stratum's boundary rows, so the wide table is neither shuffled nor sorted. ``block_span`` is
-    the length of a block in units of TIME: long enough to hold many rows, short enough to sort.
-    Without ``ties`` rows of equal (TRIAL, TIME) go to the same part.
+    No row is numbered to find its part. Rows are counted per (stratum, trial); the counts give the
+    trials in which the boundaries fall. In those, counts per cell of TIME narrow a boundary down to
+    a short stretch, and only its rows are put in order. Every row of the table then just compares
+    its (TRIAL, TIME, ties) with its stratum's two boundary rows, so the wide table is neither
+    shuffled nor sorted. Without ``ties`` rows of equal (TRIAL, TIME) go to the same part.
     """
     if not 0 <= train_size <= 1:
         raise ValueError(f"train_size must be between 0 and 1, but got {train_size}.")
 
     keyed = df.withColumn("_key", stratum_key(strata)).filter("_key is not null")
-    block = F.floor(F.col(TIME) / F.lit(block_span)).cast("long")
     order = [TRIAL, TIME, *ties]
-    narrow = keyed.select("_key", *[col(c) for c in order]).withColumn("_block", block)
+    narrow = keyed.select("_key", *[col(c) for c in order])
 
-    blocks = materialise(narrow.groupBy("_key", TRIAL, "_block").agg(F.count("*").alias("_n")))
-    trials = materialise(_trial_offsets(blocks))
+    counts = materialise(
+        narrow.groupBy("_key", TRIAL).agg(
+            F.count("*").alias("_rows"), F.min(TIME).cast("long").alias("_low"), F.max(TIME).cast("long").alias("_high")
+        )
+    )
+    trials = _trial_offsets(counts)
     cuts = materialise(_cuts(trials, train_size, gap))
     short = cuts.filter("_test_from > _total").orderBy("_key").take(3)
     if short:
         raise ValueError(f"gap of {gap} rows reaches beyond the end of {[r['_key'] for r in short]}")
 
-    edges = materialise(_boundary_rows(narrow, blocks, trials, cuts, order))
+    edges = materialise(_boundary_rows(narrow, trials, cuts, order))
     row = _row_key(order)
     part = (
         F.when(F.col("_cut").isNull() | (row < F.col("_cut")), F.lit(TRAIN))
@@ -72,10 +75,9 @@ def _row_key(order: Sequence[str]) -> Column:
     return F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(order)])
 
 
-def _trial_offsets(blocks: DataFrame) -> DataFrame:
+def _trial_offsets(counts: DataFrame) -> DataFrame:
     """Rows of the stratum before each trial, summed in two levels so no window holds all trials."""
-    bucket = F.floor(F.col(TRIAL) / F.lit(TRIAL_SPAN)).cast("long")
-    trials = blocks.groupBy("_key", bucket.alias("_bucket"), TRIAL).agg(F.sum("_n").alias("_rows"))
+    trials = counts.withColumn("_bucket", F.floor(F.col(TRIAL) / F.lit(TRIAL_SPAN)).cast("long"))
     stratum = Window.partitionBy("_key")
     before = stratum.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
@@ -93,7 +95,8 @@ def _trial_offsets(blocks: DataFrame) -> DataFrame:
     return (
         trials.withColumn("_inside", F.coalesce(F.sum("_rows").over(inside), F.lit(0)))
         .join(buckets, ["_key", "_bucket"])
-        .select("_key", TRIAL, "_rows", (F.col("_bucket_from") + F.col("_inside")).alias("_from"), "_total", "_last_trial")
+        .withColumn("_from", F.col("_bucket_from") + F.col("_inside"))
+        .select("_key", TRIAL, "_rows", "_low", "_high", "_from", "_total", "_last_trial")
     )
 
 
@@ -111,33 +114,29 @@ def _cuts(trials: DataFrame, train_size: float, gap: int) -> DataFrame:
     )
 
 
-def _boundary_rows(
-    narrow: DataFrame, blocks: DataFrame, trials: DataFrame, cuts: DataFrame, order: Sequence[str]
-) -> DataFrame:
+def _boundary_rows(narrow: DataFrame, trials: DataFrame, cuts: DataFrame, order: Sequence[str]) -> DataFrame:
     """Order key of the rows at the two boundary positions, NULL for a position behind the last row."""
     wanted = F.array(
         F.struct(F.lit("_cut").alias("which"), F.col("_cut_at").alias("at")),
         F.struct(F.lit("_test").alias("which"), F.col("_test_from").alias("at")),
     )
     positions = cuts.select("_key", F.explode(wanted).alias("_p")).select("_key", "_p.which", "_p.at")
-    inside = (F.col("at") >= F.col("_from")) & (F.col("at") < F.col("_from") + F.col("_rows"))
     # Every table of boundaries has at most two rows per stratum, some numbers wider than these.
     size = 4 * serialised_bytes(positions)
-    in_trial = lookup_join(trials, positions, ["_key"], [F.col(TRIAL)], "inner", size=size).filter(inside)
-    in_trial = in_trial.select("_key", TRIAL, "which", (F.col("at") - F.col("_from")).alias("_place"))
-
-    earlier = Window.partitionBy("_key", TRIAL, "which").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    in_block = (
-        lookup_join(blocks, in_trial, ["_key", TRIAL], [F.col("_block")], "inner", size=size)
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .filter((F.col("_place") >= F.col("_before")) & (F.col("_place") < F.col("_before") + F.col("_n")))
-        .select("_key", TRIAL, "_block", "which", (F.col("_place") - F.col("_before") + 1).alias("_nth"))
+    inside = (F.col("at") >= F.col("_from")) & (F.col("at") < F.col("_from") + F.col("_rows"))
+    stretches = materialise(
+        lookup_join(trials, positions, ["_key"], [F.col(TRIAL)], "inner", size=size)
+        .filter(inside)
+        .select("_key", TRIAL, "which", (F.col("at") - F.col("_from")).alias("_place"), "_low", "_high", "_rows")
     )
-    numbered = Window.partitionBy("_key", TRIAL, "_block", "which").orderBy(*[col(c) for c in order])
+    while not stretches.filter((F.col("_rows") > ORDERED_ROWS) & (F.col("_low") < F.col("_high"))).isEmpty():
+        stretches = materialise(_narrowed(narrow, stretches, size))
+
+    numbered = Window.partitionBy("_key", TRIAL, "which").orderBy(*[col(c) for c in order])
     hits = (
-        lookup_join(narrow, in_block, ["_key", TRIAL, "_block"], [F.col(TIME)], "inner", size=size)
+        _rows_in(narrow, stretches, size)
         .withColumn("_number", F.row_number().over(numbered))
-        .filter("_number = _nth")
+        .filter(F.col("_number") == F.col("_place") + 1)
         .withColumn("_row", _row_key(order))
     )
     found = hits.groupBy("_key").agg(
@@ -147,6 +146,33 @@ def _boundary_rows(
     return cuts.select("_key").join(found, "_key", "left")
 
 
+def _rows_in(narrow: DataFrame, stretches: DataFrame, size: int) -> DataFrame:
+    """Rows of the stretches, once per boundary."""
+    near = lookup_join(narrow, stretches, ["_key", TRIAL], [F.col(TIME)], "inner", size=size)
+    return near.filter(F.col(TIME).between(F.col("_low"), F.col("_high")))
+
+
+def _narrowed(narrow: DataFrame, stretches: DataFrame, size: int) -> DataFrame:
+    """Each stretch cut down to the cell of TIME its place falls into."""
+    width = F.col("_high") - F.col("_low") + 1
+    cell = F.floor((F.col(TIME) - F.col("_low")) * F.lit(CELLS) / width).cast("long")
+    boundary = ["_key", TRIAL, "which", "_place"]
+    cells = (
+        _rows_in(narrow, stretches, size)
+        .groupBy(*boundary, cell.alias("_cell"))
+        .agg(
+            F.count("*").alias("_rows"), F.min(TIME).cast("long").alias("_low"), F.max(TIME).cast("long").alias("_high")
+        )
+    )
+    # At most CELLS rows per boundary.
+    earlier = Window.partitionBy(*boundary).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cells.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    inside = (F.col("_place") >= F.col("_before")) & (F.col("_place") < F.col("_before") + F.col("_rows"))
+    return placed.filter(inside).select(
+        "_key", TRIAL, "which", (F.col("_place") - F.col("_before")).alias("_place"), "_low", "_high", "_rows"
+    )
+
+
 def part_proportions(df: DataFrame, column: str, part: str = "part") -> DataFrame:
     """Share of each value of ``column`` in the train and in the test part, NULL included."""
     counts = df.filter(col(part).isin(TRAIN, TEST)).groupBy(col(part).alias("part"), col(column)).agg(

@@ -13,8 +13,8 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 #: Serialised size up to which a lookup table is broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
-#: Copies of every lookup row when the table is too large to broadcast.
-LOOKUP_SALTS = 16
+#: Least and most copies of every lookup row when the table is too large to broadcast.
+LOOKUP_SALTS = (16, 256)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,13 +68,15 @@ def lookup_join(
 
     The table's size is measured (``table`` is then best materialised), or given where a bound is
     already known: below ``max_bytes`` it is broadcast and the rows stay where they are. Above, the
-    table is copied ``LOOKUP_SALTS`` times and the rows of a key are spread over the copies by a
-    hash of ``spread_by``, so that one hot key does not end up in one task. Both ways give the same
-    rows.
+    table is copied ``LOOKUP_SALTS`` times, more with more shuffle partitions, and the rows of a key
+    are spread over the copies by a hash of ``spread_by``, so that one hot key does not end up in one
+    task; adaptive execution may split what is still skewed. Both ways give the same rows.
     """
     limit = BROADCAST_BYTES if max_bytes is None else max_bytes
     if (serialised_bytes(table) if size is None else size) <= limit:
         return rows.join(F.broadcast(table), on, how)
-    salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))))
-    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(LOOKUP_SALTS)).cast("int"))
+    least, most = LOOKUP_SALTS
+    salts = min(most, max(least, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 64))
+    salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     return salted_rows.join(salted_table, [*on, "_salt"], how).drop("_salt")
