@@ -23,7 +23,7 @@ from strideframe.functions.names import (
     tidy_label,
 )
 from strideframe.operators.positions import sorted_index
-from strideframe.storage import lookup_join, materialise
+from strideframe.storage import lookup_join, materialise, serialised_bytes
 
 FILE_KEY = ["participant", "filename"]
 PAIR = ["participant", "label"]
@@ -55,7 +55,10 @@ def participants(files: DataFrame, skip: Sequence[int] = ()) -> DataFrame:
     Raises ``ValueError`` where no folder has such a name.
     """
     # Materialised, so that names are tested once per participant and not once per sample.
-    found = materialise(files.select("participant").distinct())
+    return _participants(materialise(files.select("participant").distinct()), skip)
+
+
+def _participants(found: DataFrame, skip: Sequence[int]) -> DataFrame:
     found = found.withColumn("participant_no", labels.participant_number(F.col("participant")))
     found = found.filter("participant_no is not null")
     if found.isEmpty():
@@ -91,7 +94,11 @@ def number_trials(files: DataFrame, skip: Sequence[int] = ()) -> DataFrame:
     ``files`` holds a row for every file that has samples (any number of rows per file), so an
     empty recording takes no number.
     """
-    recordings = trial_files(materialise(files.select(*FILE_KEY).distinct()), skip)
+    return _number_trials(materialise(files.select(*FILE_KEY).distinct()), skip)
+
+
+def _number_trials(files: DataFrame, skip: Sequence[int]) -> DataFrame:
+    recordings = trial_files(files, skip)
     order = [F.col("participant_no"), F.col("participant"), F.col("filename")]
     numbered = sorted_index(recordings, order, "_index")
     return numbered.select(*FILE_KEY, "participant_no", F.col("_index").cast("int").alias(TRIAL))
@@ -213,8 +220,9 @@ def ingest_trials(
     two numbers per sample and shuffles once by (TRIAL, frame).
     """
     contents = materialise(samples.select(*FILE_KEY, "label").distinct())
-    participants(contents, skip_participants)
-    trials = materialise(number_trials(contents, skip_participants))
+    _participants(contents.select("participant").distinct(), skip_participants)
+    numbered = _number_trials(contents.select(*FILE_KEY).distinct(), skip_participants)
+    trials = materialise(with_labels(numbered))
     pairs = contents.select(*PAIR).distinct()
     names = materialise(label_names(pairs, missing_locations, measures, locations, dimensions))
     held = materialise(contents.join(trials, FILE_KEY).join(names, PAIR).select(TRIAL, "name").distinct())
@@ -226,10 +234,11 @@ def ingest_trials(
     numbers = materialise(names.join(F.broadcast(places), "name").select(*PAIR, "_i"))
     spread = [F.col("frame"), F.col("value")]
     wanted = lookup_join(samples, numbers, PAIR, spread, "inner")
-    wanted = lookup_join(wanted, trials.select(*FILE_KEY, TRIAL), FILE_KEY, spread, "inner")
+    size = serialised_bytes(trials)
+    wanted = lookup_join(wanted, trials.select(*FILE_KEY, TRIAL), FILE_KEY, spread, "inner", size=size)
     wide = widen(wanted, columns, compat_time)
-    trial_labels = materialise(with_labels(trials).select(TRIAL, ACTIVITY, INCLINE, SPEED))
-    return lookup_join(wide, trial_labels, [TRIAL], [F.col(TIME)], "inner")
+    trial_labels = trials.select(TRIAL, ACTIVITY, INCLINE, SPEED)
+    return lookup_join(wide, trial_labels, [TRIAL], [F.col(TIME)], "inner", size=size)
 
 
 def process_recordings(samples: DataFrame, output_path: str, **options) -> None:
