@@ -168,7 +168,7 @@ SELECT "TRIAL", count(*) AS rows, min("TIME") AS first_time FROM interim WHERE "
 LINE_TIES = "l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax"
 
 ROW_POSITION = f"""
-SELECT l_returnflag, l_shipdate, {LINE_TIES},
+SELECT l_returnflag, {LINE_TIES},
        row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, {LINE_TIES}) - 1 AS position
 FROM lineitem"""
 

@@ -96,7 +96,8 @@ def schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position of each line of a part in ship-date order: frame numbers for unnumbered rows."""
     lines = tables.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_shipdate", *tables.LINE_TIES)
-    return row_position(lines, tables.epoch("l_shipdate", 1_000), "position", ["l_returnflag"], tables.LINE_TIES)
+    placed = row_position(lines, tables.epoch("l_shipdate", 1_000), "position", ["l_returnflag"], tables.LINE_TIES)
+    return placed.drop("l_shipdate")
 
 
 # --- split, balance, weights ------------------------------------------------------------------
