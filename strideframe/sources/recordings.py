@@ -225,7 +225,10 @@ def ingest_trials(
     trials = materialise(with_labels(numbered))
     pairs = contents.select(*PAIR).distinct()
     names = materialise(label_names(pairs, missing_locations, measures, locations, dimensions))
-    held = materialise(contents.join(trials, FILE_KEY).join(names, PAIR).select(TRIAL, "name").distinct())
+    size = serialised_bytes(trials)
+    known = lookup_join(contents, names, PAIR, [F.col("filename")], "inner")
+    known = lookup_join(known, trials.select(*FILE_KEY, TRIAL), FILE_KEY, [F.col("label")], "inner", size=size)
+    held = materialise(known.select(TRIAL, "name").distinct())
     columns = list(channels) if channels is not None else first_trial_channels(held)
     check_channels(trials, held, columns)
 
@@ -234,7 +237,6 @@ def ingest_trials(
     numbers = materialise(names.join(F.broadcast(places), "name").select(*PAIR, "_i"))
     spread = [F.col("frame"), F.col("value")]
     wanted = lookup_join(samples, numbers, PAIR, spread, "inner")
-    size = serialised_bytes(trials)
     wanted = lookup_join(wanted, trials.select(*FILE_KEY, TRIAL), FILE_KEY, spread, "inner", size=size)
     wide = widen(wanted, columns, compat_time)
     trial_labels = trials.select(TRIAL, ACTIVITY, INCLINE, SPEED)
