@@ -27,6 +27,7 @@ from strideframe.operators.metrics import (
     classification_scores,
     confusion_matrix,
     label_list,
+    regression_histogram,
     regression_scores,
     with_class_weights,
 )
@@ -165,12 +166,13 @@ def feature_importances(train: DataFrame, model: PipelineModel) -> DataFrame:
     )
 
 
-def regressor_run(parted: DataFrame, family: str, target: str, params: Mapping, scaler: Mapping | None):
-    """Fit on the train part and score on the test part: (scores row, model, unbalanced values)."""
+def regressor_run(
+    parted: DataFrame, family: str, target: str, params: Mapping, scaler: Mapping | None
+) -> tuple[PipelineModel, DataFrame]:
+    """Fit on the train part and predict the test rows that have a target: (model, predictions)."""
     train, test = (parted.filter(F.col("part") == part) for part in (TRAIN, TEST))
     model = fit_regressor(train, family, target, params, scaler, feature_columns(parted))
-    scores = regression_scores(model.transform(with_target(test, target)), target, PREDICTION).first()
-    return scores, model, split_balance(parted, target)
+    return model, model.transform(with_target(test, target))
 
 
 def multipredictor(
@@ -183,13 +185,15 @@ def multipredictor(
     ties: Sequence[str] = (),
     output_dir: str | None = None,
     save: bool = False,
+    histograms: bool = False,
 ) -> dict[str, DataFrame]:
     """Train and score the three predictors of a family on a feature table.
 
-    Returns the tables of a run: ``run`` (scores and parameters), ``confusion`` and, for tree
-    families, ``importances_speed`` and ``importances_incline``. With ``output_dir`` the run record
-    and the importances are written below it, with ``save`` the models as well. ``features`` should
-    be a stored table: it is read once per step.
+    Returns the tables of a run: ``run`` (scores and parameters), ``confusion``, ``balance_<target>``
+    (values the split shares out unevenly), for tree families ``importances_speed`` and
+    ``importances_incline``, and with ``histograms`` the prediction histograms of both regressors.
+    With ``output_dir`` the run record and the importances are written below it, with ``save`` the
+    models as well. ``features`` should be a stored table: it is read once per step.
     """
     params = HYPERPARAMETERS[family] if params is None else params
     columns = [c for c in features.columns if c not in ties]
@@ -204,8 +208,15 @@ def multipredictor(
         predicted = activity.transform(test)
         scored = classification_scores(predicted, ACTIVITY, PREDICTION).first()
         matrix = confusion_matrix(predicted, label_list(features), ACTIVITY, PREDICTION).collect()
-        speed_scores, speed, _ = regressor_run(parted, family, SPEED, params, scaler)
-        incline_scores, incline, _ = regressor_run(parted, family, INCLINE, params, scaler)
+        result = {f"balance_{t.lower()}": split_balance(parted, t) for t in (ACTIVITY, SPEED, INCLINE)}
+        models = {"activity": activity}
+        regression = {}
+        for target in (SPEED, INCLINE):
+            name = target.lower()
+            models[name], tested = regressor_run(parted, family, target, params, scaler)
+            regression[name] = regression_scores(tested, target, PREDICTION).first()
+            if histograms:
+                result[f"histogram_{name}"] = regression_histogram(tested, target, PREDICTION)
     finally:
         parted.unpersist()
 
@@ -213,19 +224,17 @@ def multipredictor(
     score = {
         "activity": scored["accuracy"],
         "activity_weighted": scored["weighted_f1"],
-        "speed_r2": speed_scores["r2"],
-        "speed_rmse": speed_scores["rmse"],
-        "incline_r2": incline_scores["r2"],
-        "incline_rmse": incline_scores["rmse"],
+        "speed_r2": regression["speed"]["r2"],
+        "speed_rmse": regression["speed"]["rmse"],
+        "incline_r2": regression["incline"]["r2"],
+        "incline_rmse": regression["incline"]["rmse"],
     }
     logged = {"window": window, "split": split, **schema_components(columns), "hyperparams": dict(params)}
-    result = {
-        "run": run_record(spark, run_name, score, logged),
-        "confusion": spark.createDataFrame(matrix),
-    }
+    result["run"] = run_record(spark, run_name, score, logged)
+    result["confusion"] = spark.createDataFrame(matrix)
     if family != "LR":
-        result["importances_speed"] = feature_importances(features, speed)
-        result["importances_incline"] = feature_importances(features, incline)
+        for name in ("speed", "incline"):
+            result[f"importances_{name}"] = feature_importances(features, models[name])
     if output_dir is not None:
         base = f"{output_dir.rstrip('/')}/{run_name}"
         write_run(result["run"], f"{base}/output")
@@ -233,6 +242,6 @@ def multipredictor(
             if f"importances_{name}" in result:
                 write_importances(result[f"importances_{name}"], f"{base}/feature_importances_{name}")
         if save:
-            for name, model in (("activity", activity), ("speed", speed), ("incline", incline)):
+            for name, model in models.items():
                 model.write().overwrite().save(f"{base}/{name}")
     return result

@@ -119,7 +119,15 @@ def test_run_and_application(spark, features, tmp_path):
 
 
 def test_tree_run_writes_importances(features, tmp_path):
-    result = training.multipredictor(features, "RF_t", "RF", 5, 0.7, SMALL["RF"], output_dir=str(tmp_path))
+    result = training.multipredictor(
+        features, "RF_t", "RF", 5, 0.7, SMALL["RF"], output_dir=str(tmp_path), histograms=True
+    )
+    speeds = result["histogram_speed"].filter("series = 'actual'").orderBy("low").collect()
+    assert [r["low"] for r in speeds] == [1.5, 2.5]
+    binned = result["histogram_speed"].filter("series = 'binned'").agg(F.sum("count")).first()[0]
+    assert binned == sum(r["count"] for r in speeds)
+    assert set(result["balance_activity"].columns) == {"ACTIVITY", "proportion", "proportion_test", "diff"}
+    assert result["balance_speed"].count() >= 0
     assert result["importances_speed"].count() == result["importances_incline"].count() == 2
     assert (tmp_path / "RF_t" / "feature_importances_speed").is_dir()
     assert not (tmp_path / "RF_t" / "activity").exists()
