@@ -28,7 +28,7 @@ CACHE_WORDS = 400_000
 LONG = 64
 
 #: Characters of text whose words are looked up together.
-CHUNK = 200_000
+CHUNK = 1_000_000
 
 #: Fixed value: the split of byte-level vocabularies into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,6 +37,10 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: a character is split into words by the tokenizers library.
 COMMON = r"[^\x00-ԯ -⁯₠-₿　-〿ぁ-ゖァ-ヺ一-龥가-힣]"
 
+#: Rank of a pair that never merges; base of the byte strings' hash (odd).
+NEVER = 1 << 40
+BASE = 0x5851F42D4C957F2D
+
 _loaded: dict[str, "ByteBpe"] = {}
 
 
@@ -48,6 +52,57 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def running_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of byte * base^place in 64 bits, and the inverse powers."""
+    with np.errstate(over="ignore"):
+        powers, inverse = (
+            np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(data), x, np.uint64))])
+            for x in (BASE, pow(BASE, -1, 1 << 64))
+        )
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
+    return sums, inverse
+
+
+def span_hash(sums: np.ndarray, inverse: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of bytes starts..ends, the same wherever they stand; never 0."""
+    with np.errstate(over="ignore"):
+        mixed = (sums[ends] - sums[starts]) * inverse[starts]
+    return mixed | np.uint64(1)
+
+
+class Lookup:
+    """Whole numbers from 64-bit keys other than 0, for arrays of keys: open addressing, half empty at most."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int):
+        self.shift = np.uint64(64 - max(4, int(len(keys) * 8 - 1).bit_length()))
+        self.keys = np.zeros((1 << (64 - int(self.shift))) + len(keys) + 1, np.uint64)
+        self.values = np.full(len(self.keys), missing, np.int64)
+        self.missing = missing
+        for key, value in zip(keys.astype(np.uint64), values, strict=True):
+            at = int(self.slot(key))
+            while self.keys[at]:
+                at += 1
+            self.keys[at], self.values[at] = key, value
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        keys = keys.astype(np.uint64)
+        at = self.slot(keys).astype(np.int64)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], self.missing)
+        open_ = np.flatnonzero((there != keys) & (there != 0))
+        while len(open_):
+            at[open_] += 1
+            there = self.keys[at[open_]]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.values[at[open_[hit]]]
+            open_ = open_[~hit & (there != 0)]
+        return out
+
+
 class ByteBpe:
     def __init__(self, spec: bytes):
         data = json.loads(spec)
@@ -63,6 +118,8 @@ class ByteBpe:
         for t, i in self.special.items():
             self.tokens[i] = t.encode()
         self.size = size
+        self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
+        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         self.rank = np.full(size, -1, np.int64)  # when a token is made; single bytes: from the start
         self.left, self.right = np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -72,45 +129,68 @@ class ByteBpe:
             self.merges[a, b] = (r, made)
             if self.rank[made] < 0:
                 self.rank[made], self.left[made], self.right[made] = r, a, b
-        keys = np.array([*(a * size + b for a, b in self.merges), size * size], np.int64)
-        order = np.argsort(keys)
-        self.pair_keys = keys[order]
-        self.pair_ranks = np.array([*(r for r, _ in self.merges.values()), 0], np.int64)[order]
-        self.longest: dict[bytes, int] = {}  # entry, by its first three bytes, or two if none goes on
-        for b in self.ids:
-            self.longest[b[:3]] = max(self.longest.get(b[:3], 0), len(b))
-            self.longest[b[:2]] = max(self.longest.get(b[:2], 0), min(2, len(b)))
-        self.stable: dict[int, bool] = {}
+        self.made = np.array([i for _, i in self.merges.values()], np.int64)  # by rank
+        keys = np.array([a * size + b + 1 for a, b in self.merges], np.int64)
+        self.pair_rank = Lookup(keys, np.arange(len(keys)), NEVER)
+        names = list(self.ids)
+        self.find = Lookup(*self.keyed(names), -1)
+        longest: dict[int, int] = {}  # entry, by its first two bytes
+        for b in names:
+            k = b[0] * 256 + b[1] if len(b) > 1 else -1
+            longest[k] = max(longest.get(k, 1), len(b))
+        self.longest = np.ones(1 << 16, np.int64)
+        for k, n in longest.items():
+            if k >= 0:
+                self.longest[k] = n
+        self.stable = np.array([True] * size)
+        ordinary = [i for b, i in self.ids.items() if len(b) > 1]
+        for i, x in zip(ordinary, self.merge_words([self.tokens[i] for i in ordinary]), strict=True):
+            self.stable[i] = x == array("I", [i]).tobytes()
         self.cache: dict[str, bytes] = {}
         self.words = regex.compile(WORDS)
         self.uncommon = regex.compile(COMMON)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
-    def proposed(self, word: bytes) -> list[int]:
-        """Longest vocabulary entry first."""
-        out, at, n, ids, longest = [], 0, len(word), self.ids, self.longest
-        while at < n:
-            most = longest.get(word[at : at + 3]) or longest.get(word[at : at + 2], 1)
-            for end in range(min(n, at + most), at, -1):
-                found = ids.get(word[at:end])
-                if found is not None:
-                    out.append(found)
-                    at = end
-                    break
-        return out
+    def keyed(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.cumsum([len(b) for b in names])
+        starts = ends - [len(b) for b in names]
+        sums, inverse = running_hash(np.frombuffer(b"".join(names), np.uint8))
+        return span_hash(sums, inverse, starts, ends), np.array([self.ids[b] for b in names], np.int64)
+
+    def proposed(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Longest vocabulary entry first, all words a token at a time: (ids, tokens per word), flat."""
+        sums, inverse = running_hash(data)
+        two = np.zeros(len(data), np.int64)
+        two[:-1] = data[:-1].astype(np.int64) * 256 + data[1:]
+        at, live, found_at, found = starts.copy(), np.arange(len(starts)), [], []
+        while len(live):
+            p = at[live]
+            most = np.minimum(self.longest[two[p]], ends[live] - p)
+            token = np.full(len(live), -1, np.int64)
+            for n in range(int(most.max()), 1, -1):
+                some = np.flatnonzero((token < 0) & (most >= n))
+                if len(some):
+                    token[some] = self.find(span_hash(sums, inverse, p[some], p[some] + n))
+            single = token < 0
+            token[single] = self.byte_ids[data[p[single]]]
+            found_at.append(p)
+            found.append(token)
+            at[live] = p + self.lengths[token]
+            live = live[at[live] < ends[live]]
+        place, token = np.concatenate(found_at), np.concatenate(found)
+        order = np.argsort(place, kind="stable")
+        return token[order], np.searchsorted(place[order], ends) - np.searchsorted(place[order], starts)
 
     def test_pairs(self, keys: np.ndarray) -> np.ndarray:
         """For each key left * size + right: would the two stay apart? Goes back in time: the token of the two
         that was made last is taken apart, and the tokens at the boundary before must not have merged earlier.
         Of merges of one rank the left one comes first, so a right neighbour's own merge loses a tie."""
         a, b = keys // self.size, keys % self.size
-        until = np.full(len(keys), np.iinfo(np.int64).max)  # twice the rank, plus one where a tie counts too
+        until = np.full(len(keys), 2 * NEVER)  # twice the rank, plus one where a tie counts too
         good, live = np.ones(len(keys), bool), np.arange(len(keys))
         while len(live):
             x, y = a[live], b[live]
-            want = x * self.size + y
-            at = np.searchsorted(self.pair_keys, want)  # the last key is larger than any
-            merged = (self.pair_keys[at] == want) & (2 * self.pair_ranks[at] < until[live])
+            merged = 2 * self.pair_rank(x * self.size + y + 1) < until[live]
             good[live[merged]] = False
             rx, ry = self.rank[x], self.rank[y]
             split_x = ~merged & (rx > ry)
@@ -168,26 +248,74 @@ class ByteBpe:
                 offer(before[i])
         return [p for p in part if p >= 0]
 
-    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+    def merge_words(self, words: list[bytes]) -> list[bytes]:
+        """Exact merging of many words: rows of tokens, in each round one merge per row."""
+        out: list[bytes] = [b""] * len(words)
+        for low, high in ((0, 8), (8, 16), (16, 32)):
+            some = [i for i, w in enumerate(words) if low < len(w) <= high]
+            if not some:
+                continue
+            n = np.array([len(words[i]) for i in some])
+            padded = np.frombuffer(b"".join(words[i].ljust(high, b"\0") for i in some), np.uint8).reshape(-1, high)
+            tokens = self.byte_ids[padded]
+            column = np.arange(high)
+            tokens[column >= n[:, None]] = -1
+            ranks = np.full((len(some), high), NEVER)  # of a token and the next
+            here = column[:-1] < n[:, None] - 1
+            ranks[:, :-1][here] = self.pair_rank((tokens[:, :-1] * self.size + tokens[:, 1:])[here] + 1)
+            live = np.arange(len(some))
+            while True:
+                i = ranks[live].argmin(1)  # the leftmost of the least
+                least = ranks[live, i]
+                go = least < NEVER
+                live, i, least = live[go], i[go], least[go]
+                if not len(live):
+                    break
+                gone = column + (column > i[:, None])
+                gone[:, -1] = np.minimum(gone[:, -1], high - 1)
+                rows, row_ranks = np.take_along_axis(tokens[live], gone, 1), np.take_along_axis(ranks[live], column + (column >= i[:, None]) - (column == high - 1) * (column >= i[:, None]), 1)
+                rows[:, -1], row_ranks[:, -1] = -1, NEVER
+                k = np.arange(len(live))
+                rows[k, i] = self.made[least]
+                for left in (i - 1, i):
+                    ok = (left >= 0) & (left < high - 1)
+                    ok[ok] &= rows[k[ok], left[ok] + 1] >= 0
+                    row_ranks[k[ok], left[ok]] = self.pair_rank(rows[k[ok], left[ok]] * self.size + rows[k[ok], left[ok] + 1] + 1)
+                    end = (left >= 0) & ~ok
+                    row_ranks[k[end], left[end]] = NEVER
+                tokens[live], ranks[live] = rows, row_ranks
+            kept = tokens >= 0
+            packed, ends = tokens[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
+            begin = 0
+            for i, end in zip(some, ends, strict=True):
+                out[i] = packed[begin:end]
+                begin = end
+        for i, w in enumerate(words):
+            if len(w) > 32:
+                out[i] = array("I", self.merged(w)).tobytes()
+        return out
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word as little-endian 32-bit numbers."""
         raw = [w.encode() for w in words]
-        ids = [self.proposed(w) for w in raw]
-        flat = np.array([i for x in ids for i in x], np.int64)
-        ends = np.cumsum([len(x) for x in ids])
-        found, place = np.unique(flat, return_inverse=True)
-        for i in found.tolist():
-            if i not in self.stable:
-                self.stable[i] = self.merged(self.tokens[i]) == [i]
-        good = np.array([self.stable[i] for i in found.tolist()], bool)[place]
-        keys, place = np.unique(flat[:-1] * self.size + flat[1:], return_inverse=True)
-        apart = self.test_pairs(keys)[place]
-        apart[ends[:-1] - 1] = True  # two words' boundary
+        joined = b"".join(raw)
+        data = np.frombuffer(joined, np.uint8)
+        sizes = np.array([len(b) for b in raw], np.int64)
+        ends = np.cumsum(sizes)
+        flat, counts = self.proposed(data, ends - sizes, ends)
+        last = np.cumsum(counts)
+        good = self.stable[flat]
+        apart = self.test_pairs(flat[:-1] * self.size + flat[1:])
+        apart[last[:-1] - 1] = True  # two words' boundary
         good[:-1] &= apart
-        good = np.logical_and.reduceat(good, ends - np.diff(ends, prepend=0))
-        packed, out, begin = flat.astype("<u4").tobytes(), {}, 0
-        for word, b, end, right in zip(words, raw, (4 * ends).tolist(), good.tolist(), strict=True):
-            out[word] = packed[begin:end] if right else array("I", self.merged(b)).tobytes()
-            begin = end
+        good = np.logical_and.reduceat(good, last - counts)
+        if b"".join([self.tokens[i] for i in flat.tolist()]) != joined:
+            good[:] = False  # two byte strings of one hash: merge all instead
+        failing = np.flatnonzero(~good).tolist()
+        packed, cuts = flat.astype("<u4").tobytes(), [0, *(4 * last).tolist()]
+        out = [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for i, ids in zip(failing, self.merge_words([raw[i] for i in failing]), strict=True):
+            out[i] = ids
         return out
 
     def split(self, text: str) -> list[str]:
@@ -221,7 +349,7 @@ class ByteBpe:
         words = [[self.split(p) if i % 2 == 0 else p for i, p in enumerate(x)] for x in parts]
         new = list({w for x in words for y in x[::2] for w in y if w not in cache})
         if new:
-            cache.update(self.encode_words(new))
+            cache.update(zip(new, self.encode_words(new), strict=True))
         out = [
             b"".join(
                 b"".join(map(cache.__getitem__, y)) if i % 2 == 0 else array("I", [self.special[y]]).tobytes()

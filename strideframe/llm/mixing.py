@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from strideframe.storage import materialise
 
-#: Words: what stands between ASCII white space.
-WORD = "[^\\x20\\x09-\\x0D]+"
+#: ASCII white space separates words.
+SPACES = "[\\x20\\x09-\\x0D]+"
 
 #: Blocks per source. A block of a source with a third of 100 billion documents has 32 million of them, which are never
 #: sorted together: only the one block a target falls into is cut, by ranges of its hash.
@@ -83,10 +83,11 @@ def permutation(block: Column, source: Column, turn: Column, seed: int) -> Colum
 
 def _rows(docs: DataFrame, record_id: str, source: str, text: str, seed: int, kept: list[str]) -> DataFrame:
     hashed = F.xxhash64(F.col(f"`{record_id}`"), F.lit(seed))
+    words = F.array_remove(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), SPACES), "")
     columns = [
         F.col(f"`{record_id}`").alias("_id"),
         F.col(f"`{source}`").alias("_source"),
-        F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
+        F.size(words).cast("long").alias("_size"),
         hashed.bitwiseAND(F.lit(BLOCKS - 1)).cast("int").alias("_block"),
         F.shiftrightunsigned(hashed, 10).alias("_fine"),
     ]
