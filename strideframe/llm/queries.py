@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import bpe, licenses, mixing, quality, sharding, token_counts, topk, toxicity
+from strideframe.llm import bpe, jaccard, licenses, mixing, quality, sharding, token_counts, topk, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -73,6 +73,10 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), percent=80)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -94,6 +98,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_license_scan": op8_license_scan,
     "op9_token_counts": op9_token_counts,
     "op10_exact_top_k": op10_exact_top_k,
