@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import bpe, jaccard, licenses, mixing, quality, sharding, token_counts, topk, toxicity
+from strideframe.llm import bpe, jaccard, licenses, mixing, quality, repeats, sharding, token_counts, topk, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -47,6 +47,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.with_kept_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("_row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.with_measures(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -95,6 +100,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_bpe_round_trip": op6_bpe_round_trip,
