@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from array import array
 from collections.abc import Callable
 
@@ -37,6 +38,11 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: a character is split into words by the tokenizers library.
 COMMON = r"[^\x00-ԯ -⁯₠-₿　-〿ぁ-ゖァ-ヺ一-龥가-힣]"
 
+#: The same split in the standard library's terms, for texts of Latin, Greek and Cyrillic letters, common punctuation and
+#: digits, among which both agree; numbers that are no digits and control characters are told apart differently.
+PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+UNLIKE = re.compile(r"[^\t-\r -~¡-±´-¸º»¿-ԯ‐-‧‹›₠-₿]")
+
 #: Rank of a pair that never merges; base of the byte strings' hash (odd).
 NEVER = 1 << 40
 BASE = 0x5851F42D4C957F2D
@@ -248,6 +254,13 @@ class ByteBpe:
                 offer(before[i])
         return [p for p in part if p >= 0]
 
+    def ranks_of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; -1 fills a row and pairs with nothing."""
+        out = np.full(len(x), NEVER)
+        both = np.flatnonzero(y >= 0)
+        out[both] = self.pair_rank(x[both] * self.size + y[both] + 1)
+        return out
+
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         """Exact merging of many words: rows of tokens, in each round one merge per row."""
         out: list[bytes] = [b""] * len(words)
@@ -257,33 +270,36 @@ class ByteBpe:
                 continue
             n = np.array([len(words[i]) for i in some])
             padded = np.frombuffer(b"".join(words[i].ljust(high, b"\0") for i in some), np.uint8).reshape(-1, high)
-            tokens = self.byte_ids[padded]
-            column = np.arange(high)
-            tokens[column >= n[:, None]] = -1
-            ranks = np.full((len(some), high), NEVER)  # of a token and the next
-            here = column[:-1] < n[:, None] - 1
-            ranks[:, :-1][here] = self.pair_rank((tokens[:, :-1] * self.size + tokens[:, 1:])[here] + 1)
-            live = np.arange(len(some))
-            while True:
-                i = ranks[live].argmin(1)  # the leftmost of the least
-                least = ranks[live, i]
+            done = np.where(np.arange(high) < n[:, None], self.byte_ids[padded], -1)
+            live, rows = np.arange(len(some)), done.copy()
+            ranks = self.ranks_of(rows[:, :-1].ravel(), rows[:, 1:].ravel()).reshape(len(some), -1)
+            while len(live) and rows.shape[1] > 1:
+                i = ranks.argmin(1)  # the leftmost of the least
+                least = ranks[np.arange(len(live)), i]
                 go = least < NEVER
-                live, i, least = live[go], i[go], least[go]
+                if not go.all():
+                    done[live[~go], : rows.shape[1]] = rows[~go]
+                    done[live[~go], rows.shape[1] :] = -1
+                    live, rows, ranks, i, least = live[go], rows[go], ranks[go], i[go], least[go]
                 if not len(live):
                     break
-                gone = column + (column > i[:, None])
-                gone[:, -1] = np.minimum(gone[:, -1], high - 1)
-                rows, row_ranks = np.take_along_axis(tokens[live], gone, 1), np.take_along_axis(ranks[live], column + (column >= i[:, None]) - (column == high - 1) * (column >= i[:, None]), 1)
-                rows[:, -1], row_ranks[:, -1] = -1, NEVER
-                k = np.arange(len(live))
+                k, width = np.arange(len(live)), rows.shape[1] - 1
                 rows[k, i] = self.made[least]
+                keep = np.ones(rows.shape, bool)
+                keep[k, i + 1] = False
+                rows = rows[keep].reshape(-1, width)
+                if width == 1:
+                    break
+                keep = np.ones(ranks.shape, bool)
+                keep[k, i] = False
+                ranks = ranks[keep].reshape(-1, width - 1)
                 for left in (i - 1, i):
-                    ok = (left >= 0) & (left < high - 1)
-                    ok[ok] &= rows[k[ok], left[ok] + 1] >= 0
-                    row_ranks[k[ok], left[ok]] = self.pair_rank(rows[k[ok], left[ok]] * self.size + rows[k[ok], left[ok] + 1] + 1)
-                    end = (left >= 0) & ~ok
-                    row_ranks[k[end], left[end]] = NEVER
-                tokens[live], ranks[live] = rows, row_ranks
+                    at = np.flatnonzero((left >= 0) & (left < width - 1))
+                    j = left[at]
+                    ranks[at, j] = self.ranks_of(rows[at, j], rows[at, j + 1])
+            done[live, : rows.shape[1]] = rows
+            done[live, rows.shape[1] :] = -1
+            tokens = done
             kept = tokens >= 0
             packed, ends = tokens[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
             begin = 0
@@ -319,6 +335,8 @@ class ByteBpe:
         return out
 
     def split(self, text: str) -> list[str]:
+        if not UNLIKE.search(text):
+            return PLAIN_WORDS.findall(text)
         if not self.uncommon.search(text):
             return self.words.findall(text)
         from tokenizers.pre_tokenizers import ByteLevel
@@ -347,7 +365,7 @@ class ByteBpe:
             cache.clear()
         parts = [self.specials.split(t) if self.specials and self.specials.search(t) else [t] for t in texts]
         words = [[self.split(p) if i % 2 == 0 else p for i, p in enumerate(x)] for x in parts]
-        new = list({w for x in words for y in x[::2] for w in y if w not in cache})
+        new = list(set().union(*(y for x in words for y in x[::2])).difference(cache))
         if new:
             cache.update(zip(new, self.encode_words(new), strict=True))
         out = [
