@@ -29,7 +29,7 @@ CACHE_WORDS = 400_000
 LONG = 64
 
 #: Characters of text whose words are looked up together.
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 #: Fixed value: the split of byte-level vocabularies into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
