@@ -163,8 +163,18 @@ def _long_enough(percent: int) -> Column:
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
-def linked(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b, n_a, n_b) whose overlaps, summed over the fragments, are large enough."""
+def _possible(percent: int) -> Column:
+    """Enough common shingles, if all that lie behind a first part are common."""
+    behind = F.greatest(*[F.ceil(F.lit(percent) * F.col(n) / 100) - 1 for n in ("n_a", "n_b")])
+    needed = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    return F.col("shared") + behind >= needed
+
+
+def linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b, n_a, n_b) whose overlaps, summed over the fragments, are large enough. Only the
+    texts of ``rows`` that a pair names are cut into segments."""
+    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    cut = materialise(segments(_among(rows, named, "left_semi")))
     left = cut.select(F.col("id").alias("a"), "fragment", F.col("segment").alias("of_a"))
     right = cut.select(F.col("id").alias("b"), "fragment", F.col("segment").alias("of_b"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"])
@@ -181,7 +191,7 @@ def _with_component(lists: DataFrame, found: DataFrame | None) -> DataFrame:
 
 
 def star_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each document with the two leaders, of other components, that it shares the most lists with."""
+    """Each document with the leader, of another component, that it shares the most lists with."""
     order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
     leader = F.min(F.struct(order.alias("o"), "id", "n", "component"))
     leaders = lists.groupBy("shingle").agg(leader.alias("l"))
@@ -189,7 +199,7 @@ def star_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
     near = near.select(F.col("l.id").alias("a"), F.col("id").alias("b"), F.col("l.n").alias("n_a"), F.col("n").alias("n_b"))
     counted = near.where(_long_enough(percent)).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
     best = F.max(F.struct("shared", "a", "n_a"))
-    first = materialise(counted).groupBy("b", "n_b").agg(best.alias("x"))
+    first = counted.where(_possible(percent)).groupBy("b", "n_b").agg(best.alias("x"))
     return first.select(F.col("x.a").alias("a"), "b", F.col("x.n_a").alias("n_a"), "n_b")
 
 
@@ -218,9 +228,7 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
         F.when(F.col("x") < F.col("y"), F.col("n_y")).otherwise(F.col("n_x")).alias("n_b"),
     )
     counted = met.where(_long_enough(percent)).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    most_behind = F.greatest(*[F.ceil(F.lit(percent) * F.col(n) / 100) - 1 for n in ("n_a", "n_b")])
-    needed = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    return counted.where(F.col("shared") + most_behind >= needed).drop("shared")
+    return counted.where(_possible(percent)).drop("shared")
 
 
 def _among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -242,12 +250,11 @@ def jaccard_classes(
     dealt = vertices.select(F.col("v.doc_id").alias("id"), F.col("v.n").alias("n"), F.explode("v.firsts").alias("shingle"))
     shared = dealt.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
     lists = materialise(dealt.join(shared, "shingle"))
-    cut = materialise(segments(_among(rows, lists.select(F.col("id").alias("doc_id")).distinct(), "left_semi")))
     found, links = None, None
     for turn in range(STAR_ROUNDS + 1):
         current = _with_component(lists, found)
         pairs = star_pairs(current, turn, percent) if turn < STAR_ROUNDS else cross_pairs(current, percent)
-        new = materialise(linked(materialise(pairs), cut, percent))
+        new = materialise(linked(materialise(pairs), rows, percent))
         links = new if links is None else links.union(new)
         found = materialise(components(links))
     member = vertices.select("sig1", "sig2", F.col("v.doc_id").alias("id")).join(found, "id", "left")
