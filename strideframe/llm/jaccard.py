@@ -45,6 +45,9 @@ BROADCAST_IDS = 2_000_000
 #: Rounds in which documents are compared with the leaders of their lists only.
 STAR_ROUNDS = 2
 
+#: Lists shared with a leader, in per cent of a document's shingles, from which the two are compared in these rounds.
+STAR_PERCENT = 3
+
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
@@ -199,7 +202,8 @@ def star_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
     near = near.select(F.col("l.id").alias("a"), F.col("id").alias("b"), F.col("l.n").alias("n_a"), F.col("n").alias("n_b"))
     counted = near.where(_long_enough(percent)).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
     best = F.max(F.struct("shared", "a", "n_a"))
-    first = counted.where(_possible(percent)).groupBy("b", "n_b").agg(best.alias("x"))
+    likely = 100 * F.col("shared") >= STAR_PERCENT * F.col("n_b")
+    first = counted.where(likely).groupBy("b", "n_b").agg(best.alias("x"))
     return first.select(F.col("x.a").alias("a"), "b", F.col("x.n_a").alias("n_a"), "n_b")
 
 
