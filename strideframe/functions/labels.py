@@ -83,4 +83,4 @@ def time_ms(frame: Column, rate: Column, compat: bool = False) -> Column:
     """
     if compat:
         return (frame.cast("double") / rate.cast("double") * F.lit(1000)).cast("long")
-    return F.floor((frame * F.lit(1000)).cast("double") / rate.cast("double")).cast("long")
+    return F.floor((frame.cast("long") * F.lit(1000)).cast("double") / rate.cast("double")).cast("long")

@@ -8,11 +8,14 @@ import numpy as np
 def frame_bounds(group: np.ndarray, time: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray]:
     """Half-open row ranges of the frames ``(t - period, t]``, never leaving the row's group.
 
-    Rows are sorted by (group, time). Groups are laid behind each other on one axis, further apart
-    than a frame is long, so that one binary search serves all of them.
+    Rows are sorted by (group, time). Groups are laid behind each other on one axis, each by its own
+    length and further apart than a frame is long, so that one binary search serves all of them.
     """
-    offset = time - time.min()
-    axis = group * (offset.max() + period + 1) + offset
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    sizes = np.diff(np.r_[starts, len(time)])
+    offset = time - np.repeat(time[starts], sizes)
+    lengths = offset[starts + sizes - 1] + period + 1
+    axis = offset + np.repeat(np.cumsum(lengths) - lengths, sizes)
     low = np.searchsorted(axis, axis - period, side="right")
     high = np.searchsorted(axis, axis, side="right")
     return low, high

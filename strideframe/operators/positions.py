@@ -45,7 +45,8 @@ def running_sum(
     """
     group = list(group)
     weight = F.lit(1) if weight is None else weight
-    keyed = df.withColumn("_order", order.cast("double")).withColumn("_weight", weight)
+    # the double only chooses the range (a cast keeps the order); rows are sorted by what was given
+    keyed = df.withColumn("_order", order.cast("double")).withColumn("_sort", order).withColumn("_weight", weight)
     keyed = _order_ranges(keyed.select("_order"), ranges or default_ranges(df)).transform(keyed)
 
     cell = [*group, "_range"]
@@ -54,14 +55,17 @@ def running_sum(
         keyed.groupBy(*[col(c) for c in cell])
         .agg(F.sum("_weight").alias("_cell_sum"))
         .withColumn("_before", F.coalesce(F.sum("_cell_sum").over(earlier), F.lit(0)))
-        .select(*[col(c) for c in cell], "_before")
+        .select(*[col(c).alias(f"_cell_{i}") for i, c in enumerate(cell)], "_before")
     )
     inside = (
         Window.partitionBy(*[col(c) for c in cell])
-        .orderBy("_order", *[col(t) for t in ties])
+        .orderBy("_sort", *[col(t) for t in ties])
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    summed = keyed.withColumn("_inside", F.sum("_weight").over(inside)).join(cells, cell)
+    same = F.lit(True)
+    for i, c in enumerate(cell):
+        same = same & col(c).eqNullSafe(F.col(f"_cell_{i}"))  # a NULL group is a group
+    summed = keyed.withColumn("_inside", F.sum("_weight").over(inside)).join(cells, same)
     return summed.select(*[col(c) for c in df.columns], (F.col("_before") + F.col("_inside")).alias(out))
 
 
