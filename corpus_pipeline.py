@@ -54,7 +54,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("bpe_encoding", token_ids),
 ]
 
-#: Draws, suffix arrays and merges have no SQL form; the tests hold the rows against a brute-force version.
+#: Draws, suffix arrays and merges have no SQL form; the tests hold each stage's operator against brute force.
 ORACLE_SQL: str | None = None
 
 
