@@ -14,6 +14,12 @@ Texts without words have an empty set and are linked with nothing; fewer than fi
 the whole sequence. Null texts have no words. Texts are read whole. Rows without an id keep a null component. Rows that share
 an id are one document. An empty table gives an empty result. Sets are compared by 64-bit hashes of shingles and
 128-bit hashes of sets.
+
+Documents that were compared with the same leader are not paired by their first shingles but by what tells them
+from the leader. With L the leader's set, D what a document lacks of it and E what it has besides, the overlap of two
+documents is |L| - |D| - |D'| + |D and D'| + |E and E'|. So each has a weight, and two are linked if the common
+differences reach the sum of the weights: at a sum of zero or less always (then both are linked with the lightest
+document, which stands for these links), else only if they share one of their first, rarest differences.
 """
 
 from __future__ import annotations
@@ -48,6 +54,9 @@ STAR_ROUNDS = 2
 #: Lists shared with a leader, in per cent of a document's shingles, from which the two are compared in these rounds.
 STAR_PERCENT = 3
 
+#: Documents with one leader from which they are compared by their differences; the result is the same either way.
+FAMILY = 16
+
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
@@ -166,13 +175,6 @@ def _long_enough(percent: int) -> Column:
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
-def _possible(percent: int) -> Column:
-    """Enough common shingles, if all that lie behind a first part are common."""
-    behind = F.greatest(*[F.ceil(F.lit(percent) * F.col(n) / 100) - 1 for n in ("n_a", "n_b")])
-    needed = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    return F.col("shared") + behind >= needed
-
-
 def linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b, n_a, n_b) whose overlaps, summed over the fragments, are large enough. Only the
     texts of ``rows`` that a pair names are cut into segments."""
@@ -208,31 +210,100 @@ def star_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
 
 
 def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that may be linked.
+    """All pairs of different components and families that may be linked.
 
-    In each list the component with the most documents is not paired with itself: one side of a pair is always
-    from another one. A pair's number of common first shingles is known in full here (a list that holds both is
-    never left out); what else they share lies behind the end of one of the first parts.
+    In each list the component or the family with the most documents, whichever has more, is not paired with itself: one
+    side of a pair is always from outside. A pair's number of common first shingles is known in full here
+    (a list that holds both is never left out); what else they share lies behind the end of one of the first parts.
     """
-    sizes = lists.groupBy("shingle", "component").agg(F.count("*").alias("k"))
-    bulk = sizes.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts"))
-    bulk = bulk.where("parts > 1").select("shingle", F.col("m.component").alias("bulk"))
-    mixed = materialise(lists.join(bulk, "shingle"))
-    one = mixed.where("component <> bulk").select(
-        "shingle", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x")
+    behind = F.greatest(*[F.ceil(F.lit(percent) * F.col(n) / 100) - 1 for n in ("n_a", "n_b")])
+    needed = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    met = _met(lists, ["component", "family"], ["n"], _long_enough(percent))
+    return met.where(F.col("shared") + behind >= needed).drop("shared")
+
+
+def _met(lists: DataFrame, apart: list[str], carried: list[str], plausible: Column) -> DataFrame:
+    """(a, b, carried columns of both, shared): documents that differ in all columns of ``apart`` and share lists."""
+    bulks = []
+    for name in apart:
+        sizes = lists.groupBy("shingle", F.col(name).alias("value")).agg(F.count("*").alias("k"))
+        bulks.append(sizes.withColumn("by", F.lit(name)))
+    sizes = bulks[0] if len(bulks) == 1 else bulks[0].union(bulks[1])
+    bulk = sizes.groupBy("shingle").agg(F.max(F.struct("k", "by", "value")).alias("m"), F.sum("k").alias("all"))
+    bulk = bulk.where(F.col("all") > len(apart) * F.col("m.k")).select("shingle", "m.by", "m.value")
+    of_bulk = F.lit(False)
+    for name in apart:
+        of_bulk = of_bulk | ((F.col("by") == name) & (F.col(name) == F.col("value")))
+    columns = ["id", *apart, *carried]
+    marked = lists.join(bulk, "shingle").select("shingle", *columns, of_bulk.alias("of_bulk"))
+    marked = materialise(marked)
+    one = marked.where("not of_bulk").select("shingle", F.struct(*columns).alias("x"))
+    other = marked.select("shingle", F.struct(*columns).alias("y"), "of_bulk")
+    met = one.join(other, "shingle").where("of_bulk or x.id < y.id")
+    for name in apart:
+        met = met.where(F.col(f"x.{name}") != F.col(f"y.{name}"))
+    first = F.col("x.id") < F.col("y.id")
+    sides = [("a", F.when(first, F.col("x")).otherwise(F.col("y"))), ("b", F.when(first, F.col("y")).otherwise(F.col("x")))]
+    met = met.select(*[c.alias(side) for side, c in sides])
+    named = [F.col(f"{side}.{c}").alias(f"{c}_{side}") for c in carried for side in ("a", "b")]
+    met = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), *named).where(plausible)
+    return met.groupBy(*met.columns).agg(F.count("*").alias("shared"))
+
+
+def families(pairs: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b): documents b that were compared with a leader a of at least ``FAMILY`` documents."""
+    large = pairs.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") >= FAMILY).select("a")
+    return pairs.join(large, "a")
+
+
+def family_links(
+    family: DataFrame, found: DataFrame, rows: DataFrame, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """Links known from the weights, and the pairs (a, b, n_a, n_b) within families that may be linked besides."""
+    named = family.select(F.col("a").alias("doc_id")).union(family.select("b")).distinct()
+    cut = materialise(segments(_among(rows, named, "left_semi")))
+    left = cut.select(F.col("id").alias("a"), "fragment", F.col("segment").alias("of_a"))
+    right = cut.select(F.col("id").alias("b"), "fragment", F.col("segment").alias("of_b"))
+    every = family.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    both = every.join(right, ["b", "fragment"], "left").join(left, ["a", "fragment"], "left")
+    none = F.array().cast("array<long>")
+    of_a, of_b = F.coalesce("of_a", none), F.coalesce("of_b", none)
+    parts = materialise(
+        both.select(
+            "a", "b", "n_a", "n_b", F.array_except(of_a, of_b).alias("lacks"), F.array_except(of_b, of_a).alias("more")
+        )
+    )
+    unit = 2 * (100 + percent)
+    weight = 2 * percent * F.col("n_b") + unit * F.col("lacking") - (100 + percent) * F.col("n_a")
+    weighed = parts.groupBy("a", "b", "n_a", "n_b").agg(
+        F.sum(F.size("lacks")).alias("lacking"), F.sum(F.size("more")).alias("besides")
     )
-    other = mixed.select(
-        "shingle", F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"), "bulk"
+    weighed = materialise(weighed.withColumn("w", weight))
+    lightest = weighed.groupBy("a").agg(F.min(F.struct("w", "b")).alias("m"))
+    weighed = weighed.join(lightest, "a")
+    sure = weighed.where("b <> m.b and w + m.w <= 0").select(F.col("m.b").alias("a"), "b")
+    # Behind the first part lie fewer differences than any link needs.
+    behind = F.greatest(F.ceil((F.col("w") + F.col("m.w")) / unit) - 1, F.lit(0))
+    open_ends = weighed.select(
+        "a", "b", F.col("n_b").alias("n"), "w", behind.alias("behind"), (F.col("lacking") + F.col("besides")).alias("differences")
+    ).where("differences > behind")
+    apart = parts.select("a", "b", F.explode("lacks").alias("d"), F.lit(True).alias("lack")).union(
+        parts.select("a", "b", F.explode("more"), F.lit(False))
     )
-    met = one.join(other, "shingle").where("c_x <> c_y and (c_y = bulk or x < y)")
-    met = met.select(
-        F.least("x", "y").alias("a"),
-        F.greatest("x", "y").alias("b"),
-        F.when(F.col("x") < F.col("y"), F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"),
-        F.when(F.col("x") < F.col("y"), F.col("n_y")).otherwise(F.col("n_x")).alias("n_b"),
+    common = apart.groupBy("a", "d", "lack").agg(F.count("*").alias("k")).where("k > 1")
+    rare = apart.join(common, ["a", "d", "lack"]).groupBy("a", "b")
+    rare = rare.agg(F.array_sort(F.collect_list(F.struct("k", "d", "lack"))).alias("found"))
+    # Differences that no other document of the family has come first and are met by none.
+    length = F.size("found") - F.col("behind")
+    first = open_ends.join(rare, ["a", "b"]).where(length > 0)
+    lists = first.withColumn("f", F.explode(F.slice("found", F.lit(1), length.cast("int"))))
+    lists = lists.select(
+        F.struct("a", "f.d", "f.lack").alias("shingle"), F.col("b").alias("id"), "n", "w", "behind"
     )
-    counted = met.where(_long_enough(percent)).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    return counted.where(_possible(percent)).drop("shared")
+    sums = F.col("w_a") + F.col("w_b")
+    met = _met(_with_component(materialise(lists), found), ["component"], ["n", "w", "behind"], sums > 0)
+    likely = (F.col("shared") + F.greatest("behind_a", "behind_b")) * unit >= sums
+    return sure, met.where(likely).select("a", "b", "n_a", "n_b")
 
 
 def _among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -254,13 +325,21 @@ def jaccard_classes(
     dealt = vertices.select(F.col("v.doc_id").alias("id"), F.col("v.n").alias("n"), F.explode("v.firsts").alias("shingle"))
     shared = dealt.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
     lists = materialise(dealt.join(shared, "shingle"))
-    found, links = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        current = _with_component(lists, found)
-        pairs = star_pairs(current, turn, percent) if turn < STAR_ROUNDS else cross_pairs(current, percent)
-        new = materialise(linked(materialise(pairs), rows, percent))
+    found, links, family = None, None, None
+    for turn in range(STAR_ROUNDS):
+        pairs = materialise(star_pairs(_with_component(lists, found), turn, percent))
+        family = materialise(families(pairs)) if turn == 0 else family
+        new = materialise(linked(pairs, rows, percent))
         links = new if links is None else links.union(new)
         found = materialise(components(links))
+    sure, within = family_links(family, found, rows, percent)
+    links = materialise(links.union(sure))
+    found = materialise(components(links))
+    family = family.select(F.col("b").alias("id"), F.col("a").alias("family"))
+    current = _with_component(lists, found).join(family, "id", "left")
+    current = current.withColumn("family", F.coalesce("family", "id"))
+    pairs = cross_pairs(current, percent).select("a", "b", "n_a", "n_b").unionByName(within)
+    found = materialise(components(links.union(materialise(linked(materialise(pairs), rows, percent)))))
     member = vertices.select("sig1", "sig2", F.col("v.doc_id").alias("id")).join(found, "id", "left")
     member = member.select("sig1", "sig2", F.coalesce("component", "id").alias("component"))
     out = sets.drop("firsts").join(member, ["sig1", "sig2"], "left")
