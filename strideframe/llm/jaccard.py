@@ -6,9 +6,9 @@ these are dealt out by shingle to find candidates. The order is cut into fragmen
 each is a row, candidates' overlaps are counted fragment by fragment, and the counts are summed per pair.
 
 Texts with equal sets are one vertex. Large groups of near copies are not paired off with each other: first every
-document is compared with the leaders of its lists, what links joins a component, and only pairs of
-different components that their common first shingles leave possible are then compared, all of them. Every
-two linked texts end up in one component.
+document is compared with a leader, the smallest id of the lists they share most of, what links joins a component, and
+only pairs of different components that their common first shingles leave possible are then compared, all of them.
+Every two linked texts end up in one component.
 
 Texts without words have an empty set and are linked with nothing; fewer than five words make one shingle of
 the whole sequence. Null texts have no words. Texts are read whole. Rows without an id keep a null component. Rows that share
@@ -48,10 +48,7 @@ MOST_FREQUENT = 2_000_000
 #: Ids (8 bytes each) up to which a measured set of documents is broadcast instead of shuffling texts.
 BROADCAST_IDS = 2_000_000
 
-#: Rounds in which documents are compared with the leaders of their lists only.
-STAR_ROUNDS = 2
-
-#: Lists shared with a leader, in per cent of a document's shingles, from which the two are compared in these rounds.
+#: Lists shared with a leader, in per cent of a document's shingles, from which the two are compared first.
 STAR_PERCENT = 3
 
 #: Documents with one leader from which they are compared by their differences; the result is the same either way.
@@ -189,18 +186,14 @@ def linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return total.where(100 * F.col("common") >= percent * union).select("a", "b")
 
 
-def _with_component(lists: DataFrame, found: DataFrame | None) -> DataFrame:
-    if found is None:
-        return lists.withColumn("component", F.col("id"))
+def _with_component(lists: DataFrame, found: DataFrame) -> DataFrame:
     return lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def star_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each document with the leader, of another component, that it shares the most lists with."""
-    order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-    leader = F.min(F.struct(order.alias("o"), "id", "n", "component"))
-    leaders = lists.groupBy("shingle").agg(leader.alias("l"))
-    near = lists.join(leaders, "shingle").where("component <> l.component")
+def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Each document with the leader (the smallest id of a list), other than itself, that it shares the most lists with."""
+    leaders = lists.groupBy("shingle").agg(F.min(F.struct("id", "n")).alias("l"))
+    near = lists.join(leaders, "shingle").where("id <> l.id")
     near = near.select(F.col("l.id").alias("a"), F.col("id").alias("b"), F.col("l.n").alias("n_a"), F.col("n").alias("n_b"))
     counted = near.where(_long_enough(percent)).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
     best = F.max(F.struct("shared", "a", "n_a"))
@@ -256,10 +249,8 @@ def families(pairs: DataFrame) -> DataFrame:
     return pairs.join(large, "a")
 
 
-def family_links(
-    family: DataFrame, found: DataFrame, rows: DataFrame, percent: int
-) -> tuple[DataFrame, DataFrame]:
-    """Links known from the weights, and the pairs (a, b, n_a, n_b) within families that may be linked besides."""
+def family_links(family: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) known from the weights, and the lists of first differences by which others may be found."""
     named = family.select(F.col("a").alias("doc_id")).union(family.select("b")).distinct()
     cut = materialise(segments(_among(rows, named, "left_semi")))
     left = cut.select(F.col("id").alias("a"), "fragment", F.col("segment").alias("of_a"))
@@ -300,10 +291,15 @@ def family_links(
     lists = lists.select(
         F.struct("a", "f.d", "f.lack").alias("shingle"), F.col("b").alias("id"), "n", "w", "behind"
     )
+    return sure, materialise(lists)
+
+
+def family_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b): pairs of different components within families that may be linked."""
     sums = F.col("w_a") + F.col("w_b")
-    met = _met(_with_component(materialise(lists), found), ["component"], ["n", "w", "behind"], sums > 0)
-    likely = (F.col("shared") + F.greatest("behind_a", "behind_b")) * unit >= sums
-    return sure, met.where(likely).select("a", "b", "n_a", "n_b")
+    met = _met(lists, ["component"], ["n", "w", "behind"], sums > 0)
+    likely = (F.col("shared") + F.greatest("behind_a", "behind_b")) * 2 * (100 + percent) >= sums
+    return met.where(likely).select("a", "b", "n_a", "n_b")
 
 
 def _among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -325,21 +321,17 @@ def jaccard_classes(
     dealt = vertices.select(F.col("v.doc_id").alias("id"), F.col("v.n").alias("n"), F.explode("v.firsts").alias("shingle"))
     shared = dealt.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
     lists = materialise(dealt.join(shared, "shingle"))
-    found, links, family = None, None, None
-    for turn in range(STAR_ROUNDS):
-        pairs = materialise(star_pairs(_with_component(lists, found), turn, percent))
-        family = materialise(families(pairs)) if turn == 0 else family
-        new = materialise(linked(pairs, rows, percent))
-        links = new if links is None else links.union(new)
-        found = materialise(components(links))
-    sure, within = family_links(family, found, rows, percent)
-    links = materialise(links.union(sure))
+    first = materialise(star_pairs(lists, percent))
+    family = materialise(families(first))
+    sure, differences = family_links(family, rows, percent)
+    links = materialise(linked(first, rows, percent).union(sure))
     found = materialise(components(links))
     family = family.select(F.col("b").alias("id"), F.col("a").alias("family"))
     current = _with_component(lists, found).join(family, "id", "left")
     current = current.withColumn("family", F.coalesce("family", "id"))
-    pairs = cross_pairs(current, percent).select("a", "b", "n_a", "n_b").unionByName(within)
-    found = materialise(components(links.union(materialise(linked(materialise(pairs), rows, percent)))))
+    pairs = cross_pairs(current, percent).select("a", "b", "n_a", "n_b")
+    pairs = pairs.unionByName(family_pairs(_with_component(differences, found), percent))
+    found = materialise(components(links.union(linked(materialise(pairs), rows, percent))))
     member = vertices.select("sig1", "sig2", F.col("v.doc_id").alias("id")).join(found, "id", "left")
     member = member.select("sig1", "sig2", F.coalesce("component", "id").alias("component"))
     out = sets.drop("firsts").join(member, ["sig1", "sig2"], "left")
