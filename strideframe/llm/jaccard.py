@@ -10,6 +10,8 @@ document is compared with a leader, the smallest id of the lists they share most
 only pairs of different components that their common first shingles leave possible are then compared, all of them.
 Every two linked texts end up in one component.
 
+A pair is only looked at if the parities of both sets allow the similarity, a bound that leaves out no link.
+
 Texts without words have an empty set and are linked with nothing; fewer than five words make one shingle of
 the whole sequence. Null texts have no words. Texts are read whole. Rows without an id keep a null component. Rows that share
 an id are one document. An empty table gives an empty result. Sets are compared by 64-bit hashes of shingles and
@@ -54,6 +56,10 @@ STAR_PERCENT = 3
 #: Documents with one leader from which they are compared by their differences; the result is the same either way.
 FAMILY = 16
 
+#: Columns of 64 parities each: how often, even or odd, a set's hashes fall on each of 256 places. Sets differ in at
+#: least as many shingles as places.
+PARITIES = ["even1", "even2", "even3", "even4"]
+
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
@@ -83,6 +89,11 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
         return np.unique(_mixed(h))
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def first_part(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
@@ -115,7 +126,7 @@ def frequent_shingles(rows: DataFrame, percent: int) -> np.ndarray:
 
 
 def signed_sets(rows: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, n, sig1, sig2, firsts): size, 128-bit signature and first part of each text's set."""
+    """(doc_id, n, sig1, sig2, firsts, parities): size, 128-bit signature, first part and ``PARITIES`` of each text's set."""
     frequent = rows.sparkSession.sparkContext.broadcast(frequent_shingles(rows, percent))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +144,7 @@ def signed_sets(rows: DataFrame, percent: int) -> DataFrame:
                 cold = s[~h][:p]
                 firsts.append(cold if len(cold) == p else np.concatenate([cold, s[h][: p - len(cold)]]))
                 signatures.append(xxhash.xxh3_128_intdigest(s.tobytes()))
+            odd = np.array([parities(s) for s in found], np.int64).reshape(-1, len(PARITIES))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
@@ -140,11 +152,13 @@ def signed_sets(rows: DataFrame, percent: int) -> DataFrame:
                     pa.array([(s >> 64) - (1 << 63) for s in signatures], pa.int64()),
                     pa.array([(s & ((1 << 64) - 1)) - (1 << 63) for s in signatures], pa.int64()),
                     _lists(firsts),
+                    *[pa.array(odd[:, i]) for i in range(len(PARITIES))],
                 ],
-                ["doc_id", "n", "sig1", "sig2", "firsts"],
+                ["doc_id", "n", "sig1", "sig2", "firsts", *PARITIES],
             )
 
-    return rows.mapInArrow(sets, "doc_id long, n long, sig1 long, sig2 long, firsts array<long>")
+    schema = "doc_id long, n long, sig1 long, sig2 long, firsts array<long>"
+    return rows.mapInArrow(sets, ", ".join([schema, *[f"{name} long" for name in PARITIES]]))
 
 
 def segments(rows: DataFrame) -> DataFrame:
@@ -167,6 +181,12 @@ def segments(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, "id long, fragment int, segment array<long>")
 
 
+def _alike_enough(percent: int) -> Column:
+    """Parities that allow the similarity: no pair above it is left out."""
+    differ = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITIES), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+
+
 def _long_enough(percent: int) -> Column:
     """Sizes that allow the similarity."""
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
@@ -211,7 +231,7 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """
     behind = F.greatest(*[F.ceil(F.lit(percent) * F.col(n) / 100) - 1 for n in ("n_a", "n_b")])
     needed = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    met = _met(lists, ["component", "family"], ["n"], _long_enough(percent))
+    met = _met(lists, ["component", "family"], ["n"], _long_enough(percent) & _alike_enough(percent))
     return met.where(F.col("shared") + behind >= needed).drop("shared")
 
 
@@ -227,7 +247,7 @@ def _met(lists: DataFrame, apart: list[str], carried: list[str], plausible: Colu
     of_bulk = F.lit(False)
     for name in apart:
         of_bulk = of_bulk | ((F.col("by") == name) & (F.col(name) == F.col("value")))
-    columns = ["id", *apart, *carried]
+    columns = ["id", *apart, *carried, *PARITIES]
     marked = lists.join(bulk, "shingle").select("shingle", *columns, of_bulk.alias("of_bulk"))
     marked = materialise(marked)
     one = marked.where("not of_bulk").select("shingle", F.struct(*columns).alias("x"))
@@ -238,8 +258,9 @@ def _met(lists: DataFrame, apart: list[str], carried: list[str], plausible: Colu
     first = F.col("x.id") < F.col("y.id")
     sides = [("a", F.when(first, F.col("x")).otherwise(F.col("y"))), ("b", F.when(first, F.col("y")).otherwise(F.col("x")))]
     met = met.select(*[c.alias(side) for side, c in sides])
-    named = [F.col(f"{side}.{c}").alias(f"{c}_{side}") for c in carried for side in ("a", "b")]
+    named = [F.col(f"{side}.{c}").alias(f"{c}_{side}") for c in [*carried, *PARITIES] for side in ("a", "b")]
     met = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), *named).where(plausible)
+    met = met.drop(*[f"{p}_{side}" for p in PARITIES for side in ("a", "b")])
     return met.groupBy(*met.columns).agg(F.count("*").alias("shared"))
 
 
@@ -297,7 +318,7 @@ def family_links(family: DataFrame, rows: DataFrame, percent: int) -> tuple[Data
 def family_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b, n_a, n_b): pairs of different components within families that may be linked."""
     sums = F.col("w_a") + F.col("w_b")
-    met = _met(lists, ["component"], ["n", "w", "behind"], sums > 0)
+    met = _met(lists, ["component"], ["n", "w", "behind"], (sums > 0) & _alike_enough(percent))
     likely = (F.col("shared") + F.greatest("behind_a", "behind_b")) * 2 * (100 + percent) >= sums
     return met.where(likely).select("a", "b", "n_a", "n_b")
 
@@ -315,7 +336,7 @@ def jaccard_classes(
     links of at least ``percent`` per cent."""
     rows = docs.select(F.col(f"`{record_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     sets = materialise(signed_sets(rows, percent))
-    vertex = F.min(F.struct("doc_id", "n", "firsts"))
+    vertex = F.min(F.struct("doc_id", "n", "firsts", *PARITIES))
     known = sets.where("n > 0 and doc_id is not null")
     vertices = materialise(known.groupBy("sig1", "sig2").agg(vertex.alias("v"), F.count("*").alias("copies")))
     dealt = vertices.select(F.col("v.doc_id").alias("id"), F.col("v.n").alias("n"), F.explode("v.firsts").alias("shingle"))
@@ -329,12 +350,13 @@ def jaccard_classes(
     family = family.select(F.col("b").alias("id"), F.col("a").alias("family"))
     current = _with_component(lists, found).join(family, "id", "left")
     current = current.withColumn("family", F.coalesce("family", "id"))
-    pairs = cross_pairs(current, percent).select("a", "b", "n_a", "n_b")
-    pairs = pairs.unionByName(family_pairs(_with_component(differences, found), percent))
+    odd = vertices.select(F.col("v.doc_id").alias("id"), *[f"v.{name}" for name in PARITIES])
+    pairs = cross_pairs(current.join(odd, "id"), percent).select("a", "b", "n_a", "n_b")
+    pairs = pairs.unionByName(family_pairs(_with_component(differences, found).join(odd, "id"), percent))
     found = materialise(components(links.union(linked(materialise(pairs), rows, percent))))
     member = vertices.select("sig1", "sig2", F.col("v.doc_id").alias("id")).join(found, "id", "left")
     member = member.select("sig1", "sig2", F.coalesce("component", "id").alias("component"))
-    out = sets.drop("firsts").join(member, ["sig1", "sig2"], "left")
+    out = sets.drop("firsts", *PARITIES).join(member, ["sig1", "sig2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
