@@ -86,6 +86,36 @@ def test_jaccard(odd, nothing):
     assert jaccard.jaccard_classes(nothing).count() == 0
 
 
+def test_jaccard_families(spark):
+    """Near copies around the limit, edited at few and at many places, some at the same ones, beside texts that
+    share a passage."""
+    rng = np.random.default_rng(7)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(90):
+        copy = list(base)
+        for at in rng.integers(0, 120, rng.integers(0, 5)):
+            copy[at] = f"edit{i}x{at}"
+        if i % 3 == 0:
+            copy[30 : 30 + i % 4] = ["same"] * (i % 4)
+        texts.append(copy[: 120 - i % 5])
+    texts += [base[:40] + [f"own{i}w{k}" for k in range(5 + i)] for i in range(30)]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    label = list(range(len(sets)))
+    for _ in range(len(sets)):
+        before = list(label)
+        for a in range(len(sets)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    assert 3 < len(set(label)) < len(sets)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(docs.repartition(4)).collect()}
+    assert got == {i: (len(s), label[i]) for i, s in enumerate(sets)}
+
+
 def test_quality(odd, nothing):
     for r in quality.with_measures(odd).collect():
         t, w = r.text or "", words(r.text)
