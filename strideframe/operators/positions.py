@@ -13,9 +13,11 @@ from strideframe.storage import materialise
 
 
 def default_ranges(df: DataFrame) -> int:
-    """Order ranges of a running sum: four per shuffle partition, so a range is a fraction of a task."""
+    """Order ranges of a running sum: four per shuffle partition, so a range is a fraction of a task.
+
+    The driver holds one number per range; there is no ceiling, as ranges would then grow with the data."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(4 * partitions, 5_000))
+    return max(8, 4 * partitions)
 
 
 def _order_ranges(orders: DataFrame, ranges: int) -> Bucketizer:
