@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.storage import materialise
+from strideframe.llm.stored import stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,9 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     rounds grows with the logarithm of the longest chain. Neighbours are joined back to their minimum, so a
     node with any number of links is spread over tasks by adaptive execution. Rows are null-free.
     """
-    edges = materialise(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    )
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = stored(edges, "edges")
     state = None
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -27,7 +26,7 @@ def components(links: DataFrame) -> DataFrame:
         lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
         near = edges.join(lowest, "u")
         edges = near.select("u", F.col("m").alias("v")).union(near.where("v <> m").select("v", "m")).distinct()
-        edges = materialise(edges)
+        edges = stored(edges, "edges")
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(30,0)"))).first()
         if now == state:
             break

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.components import components
-from strideframe.storage import materialise
+from strideframe.llm.stored import stored
 
 WORDS = 5
 
@@ -196,7 +196,7 @@ def linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b, n_a, n_b) whose overlaps, summed over the fragments, are large enough. Only the
     texts of ``rows`` that a pair names are cut into segments."""
     named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    cut = materialise(segments(_among(rows, named, "left_semi")))
+    cut = stored(segments(_among(rows, named, "left_semi")), "segments")
     left = cut.select(F.col("id").alias("a"), "fragment", F.col("segment").alias("of_a"))
     right = cut.select(F.col("id").alias("b"), "fragment", F.col("segment").alias("of_b"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"])
@@ -249,7 +249,7 @@ def _met(lists: DataFrame, apart: list[str], carried: list[str], plausible: Colu
         of_bulk = of_bulk | ((F.col("by") == name) & (F.col(name) == F.col("value")))
     columns = ["id", *apart, *carried, *PARITIES]
     marked = lists.join(bulk, "shingle").select("shingle", *columns, of_bulk.alias("of_bulk"))
-    marked = materialise(marked)
+    marked = stored(marked, "marked")
     one = marked.where("not of_bulk").select("shingle", F.struct(*columns).alias("x"))
     other = marked.select("shingle", F.struct(*columns).alias("y"), "of_bulk")
     met = one.join(other, "shingle").where("of_bulk or x.id < y.id")
@@ -273,24 +273,23 @@ def families(pairs: DataFrame) -> DataFrame:
 def family_links(family: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) known from the weights, and the lists of first differences by which others may be found."""
     named = family.select(F.col("a").alias("doc_id")).union(family.select("b")).distinct()
-    cut = materialise(segments(_among(rows, named, "left_semi")))
+    cut = stored(segments(_among(rows, named, "left_semi")), "segments")
     left = cut.select(F.col("id").alias("a"), "fragment", F.col("segment").alias("of_a"))
     right = cut.select(F.col("id").alias("b"), "fragment", F.col("segment").alias("of_b"))
     every = family.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     both = every.join(right, ["b", "fragment"], "left").join(left, ["a", "fragment"], "left")
     none = F.array().cast("array<long>")
     of_a, of_b = F.coalesce("of_a", none), F.coalesce("of_b", none)
-    parts = materialise(
-        both.select(
-            "a", "b", "n_a", "n_b", F.array_except(of_a, of_b).alias("lacks"), F.array_except(of_b, of_a).alias("more")
-        )
+    parts = both.select(
+        "a", "b", "n_a", "n_b", F.array_except(of_a, of_b).alias("lacks"), F.array_except(of_b, of_a).alias("more")
     )
+    parts = stored(parts, "differences")
     unit = 2 * (100 + percent)
     weight = 2 * percent * F.col("n_b") + unit * F.col("lacking") - (100 + percent) * F.col("n_a")
     weighed = parts.groupBy("a", "b", "n_a", "n_b").agg(
         F.sum(F.size("lacks")).alias("lacking"), F.sum(F.size("more")).alias("besides")
     )
-    weighed = materialise(weighed.withColumn("w", weight))
+    weighed = stored(weighed.withColumn("w", weight), "weights")
     lightest = weighed.groupBy("a").agg(F.min(F.struct("w", "b")).alias("m"))
     weighed = weighed.join(lightest, "a")
     sure = weighed.where("b <> m.b and w + m.w <= 0").select(F.col("m.b").alias("a"), "b")
@@ -312,7 +311,7 @@ def family_links(family: DataFrame, rows: DataFrame, percent: int) -> tuple[Data
     lists = lists.select(
         F.struct("a", "f.d", "f.lack").alias("shingle"), F.col("b").alias("id"), "n", "w", "behind"
     )
-    return sure, materialise(lists)
+    return sure, stored(lists, "family-lists")
 
 
 def family_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -325,7 +324,7 @@ def family_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 def _among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join by id: a small measured set of ids is broadcast, a large one shuffles the rows."""
-    ids = materialise(ids)
+    ids = stored(ids, "ids")
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
@@ -335,25 +334,25 @@ def jaccard_classes(
     """(doc_id, n_shingles, component_id), a row per row of ``docs``: the set's size and the smallest id reachable by
     links of at least ``percent`` per cent."""
     rows = docs.select(F.col(f"`{record_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    sets = materialise(signed_sets(rows, percent))
+    sets = stored(signed_sets(rows, percent), "sets")
     vertex = F.min(F.struct("doc_id", "n", "firsts", *PARITIES))
     known = sets.where("n > 0 and doc_id is not null")
-    vertices = materialise(known.groupBy("sig1", "sig2").agg(vertex.alias("v"), F.count("*").alias("copies")))
+    vertices = stored(known.groupBy("sig1", "sig2").agg(vertex.alias("v")), "vertices")
     dealt = vertices.select(F.col("v.doc_id").alias("id"), F.col("v.n").alias("n"), F.explode("v.firsts").alias("shingle"))
     shared = dealt.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
-    lists = materialise(dealt.join(shared, "shingle"))
-    first = materialise(star_pairs(lists, percent))
-    family = materialise(families(first))
+    lists = stored(dealt.join(shared, "shingle"), "lists")
+    first = stored(star_pairs(lists, percent), "stars")
+    family = stored(families(first), "families")
     sure, differences = family_links(family, rows, percent)
-    links = materialise(linked(first, rows, percent).union(sure))
-    found = materialise(components(links))
+    links = stored(linked(first, rows, percent).union(sure), "links")
+    found = components(links)
     family = family.select(F.col("b").alias("id"), F.col("a").alias("family"))
     current = _with_component(lists, found).join(family, "id", "left")
     current = current.withColumn("family", F.coalesce("family", "id"))
     odd = vertices.select(F.col("v.doc_id").alias("id"), *[f"v.{name}" for name in PARITIES])
     pairs = cross_pairs(current.join(odd, "id"), percent).select("a", "b", "n_a", "n_b")
     pairs = pairs.unionByName(family_pairs(_with_component(differences, found).join(odd, "id"), percent))
-    found = materialise(components(links.union(linked(materialise(pairs), rows, percent))))
+    found = components(links.union(linked(stored(pairs, "pairs"), rows, percent)))
     member = vertices.select("sig1", "sig2", F.col("v.doc_id").alias("id")).join(found, "id", "left")
     member = member.select("sig1", "sig2", F.coalesce("component", "id").alias("component"))
     out = sets.drop("firsts", *PARITIES).join(member, ["sig1", "sig2"], "left")
@@ -363,7 +362,7 @@ def jaccard_classes(
 
 def one_per_component(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Of each component the document with its id, all columns as they were; rows without an id stay."""
-    classes = materialise(jaccard_classes(docs, percent))
+    classes = stored(jaccard_classes(docs, percent), "classes")
     out = _among(docs, classes.where("doc_id <> component_id").select("doc_id").distinct(), "left_anti")
     ids = classes.where("doc_id is not null and doc_id = component_id").select("doc_id")
     repeated = ids.groupBy("doc_id").count().where("count > 1").select("doc_id")

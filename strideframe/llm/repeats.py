@@ -30,8 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideframe.llm.stored import stored
 from strideframe.llm.suffixes import permuted_prefixes, suffix_array
-from strideframe.storage import materialise, scratch_path
+from strideframe.storage import materialise
 
 LENGTH = 100
 GRAM = 32
@@ -220,13 +221,6 @@ def _window_rows(rows: DataFrame) -> DataFrame:
     return rows.select("segment", "key", "at").mapInArrow(cut, "w1 long, w2 long, key long, at long")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: lineage ends here, and columns that are not asked for are not read."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "key", how)
 
@@ -247,7 +241,7 @@ def repeated_spans(docs: DataFrame, record_id: str = "doc_id", text: str = "text
     base = materialise(rows.select("key", digest.alias("digest"), (F.octet_length("data") >= LENGTH).alias("long")))
     base = base.where("long").select("key", "digest").distinct()
     oldest = base.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = _stored(base.join(oldest, "digest").where("key <> first").select("key", "digest"), "copies")
+    copies = stored(base.join(oldest, "digest").where("key <> first").select("key", "digest"), "copies")
     whole = rows.where(F.octet_length("data") >= LENGTH)
     if not copies.isEmpty():
         small = copies.count() <= BROADCAST_IDS
@@ -256,14 +250,14 @@ def repeated_spans(docs: DataFrame, record_id: str = "doc_id", text: str = "text
 
     runs = anchors(whole)
     often = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    met = _stored(runs.join(often, "anchor"), "runs")
+    met = stored(runs.join(often, "anchor"), "runs")
     per_document = met.groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "run")).alias("runs"))
     ids = materialise(met.select("key").distinct())
-    occurrences = _stored(segments(_among(whole, ids, "left_semi").join(per_document, "key")), "segments")
+    occurrences = stored(segments(_among(whole, ids, "left_semi").join(per_document, "key")), "segments")
 
     same = ["anchor", "d1", "d2"]
     oldest = occurrences.groupBy(*same).agg(F.min(F.struct("key", "at", "segment")).alias("o"))
-    distinct = _stored(oldest.select(*same, "o.*"), "distinct")
+    distinct = stored(oldest.select(*same, "o.*"), "distinct")
     first = distinct.select(*same, F.col("key").alias("first_key"), F.col("at").alias("first_at"))
     again = occurrences.withColumn("end", F.col("at") + F.octet_length("segment")).drop("segment").join(first, same)
     again = again.where("key <> first_key or at <> first_at").select("key", "at", "end")
@@ -277,11 +271,11 @@ def repeated_spans(docs: DataFrame, record_id: str = "doc_id", text: str = "text
     later = in_shards.select("shard", "segment", "key", "at").groupBy("shard").applyInPandas(later_windows, "key long, at long, end long")
     spans = again.union(later)
     if not per_anchor.where(F.col("n") > MOST_SEGMENTS).isEmpty():
-        windows = _stored(_window_rows(shared.where(F.col("n") > MOST_SEGMENTS)), "windows")
+        windows = stored(_window_rows(shared.where(F.col("n") > MOST_SEGMENTS)), "windows")
         eldest = windows.groupBy("w1", "w2").agg(F.min(F.struct("key", "at")).alias("o"))
         rest = windows.join(eldest, ["w1", "w2"]).where("key <> o.key or at <> o.at")
         spans = spans.union(rest.select("key", "at", (F.col("at") + LENGTH).alias("end")))
-    return copies, _stored(spans.groupBy("key").agg(F.collect_list(F.struct("at", "end")).alias("spans")), "spans")
+    return copies, stored(spans.groupBy("key").agg(F.collect_list(F.struct("at", "end")).alias("spans")), "spans")
 
 
 def removed(size: int, spans: list) -> np.ndarray:
