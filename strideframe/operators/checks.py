@@ -38,7 +38,7 @@ def check_time_resets(starts: DataFrame) -> None:
     bad = time_reset_offenders(starts).orderBy(TRIAL).take(5)
     if bad:
         shown = ", ".join(f"trial {r[TRIAL]} starts at {r['first_time']}" for r in bad)
-        raise ValueError(f"TIME does not reset to 0 when TRIAL increases by 1: {shown}")
+        raise ValueError(f"trials should start at TIME 0, but {shown}")
 
 
 def reattach_labels(
@@ -64,7 +64,7 @@ def assert_schema(df: DataFrame, expected: T.StructType) -> DataFrame:
     """Raise ``ValueError`` with the difference unless the schemas agree; no job is run."""
     difference = schema_difference(df, expected)
     if difference:
-        raise ValueError(f"Schema validation failed, difference: {difference}")
+        raise ValueError(f"columns found or expected on one side only: {difference}")
     return df
 
 

@@ -43,7 +43,7 @@ def sequential_split(
     shuffled nor sorted. Without ``ties`` rows of equal (TRIAL, TIME) go to the same part.
     """
     if not 0 <= train_size <= 1:
-        raise ValueError(f"train_size must be between 0 and 1, but got {train_size}.")
+        raise ValueError(f"train_size is a share of the rows, from 0 to 1; {train_size} is not")
 
     keyed = df.withColumn("_key", stratum_key(strata)).filter("_key is not null")
     order = [TRIAL, TIME, *ties]
@@ -203,7 +203,7 @@ def split_balance(df: DataFrame, column: str, part: str = "part", threshold: flo
 def compare_balance(y_test: DataFrame, y_train: DataFrame, threshold: float = 0.05) -> DataFrame:
     """:func:`split_balance` of two single-column tables."""
     if [(f.name, f.dataType) for f in y_test.schema] != [(f.name, f.dataType) for f in y_train.schema]:
-        raise ValueError("The DataFrames must have the same schema")
+        raise ValueError(f"cannot compare {y_test.schema.simpleString()} with {y_train.schema.simpleString()}")
     column = y_test.columns[0]
     both = y_train.withColumn("part", F.lit(TRAIN)).unionByName(y_test.withColumn("part", F.lit(TEST)))
     return split_balance(both, column, "part", threshold)

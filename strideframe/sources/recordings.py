@@ -59,11 +59,12 @@ def participants(files: DataFrame, skip: Sequence[int] = ()) -> DataFrame:
 
 
 def _participants(found: DataFrame, skip: Sequence[int]) -> DataFrame:
-    found = found.withColumn("participant_no", labels.participant_number(F.col("participant")))
-    found = found.filter("participant_no is not null")
-    if found.isEmpty():
-        raise ValueError("No valid participant directories found. Expected format: 'Pxx' or 'Px'.")
-    return found.filter(_not_skipped(skip)).orderBy("participant_no", "participant")
+    numbered = found.withColumn("participant_no", labels.participant_number(F.col("participant")))
+    named = numbered.filter("participant_no is not null")
+    if named.isEmpty():
+        other = [r["participant"] for r in found.orderBy("participant").take(3)]
+        raise ValueError(f"none of the folders is called P and a number, only for example {other}")
+    return named.filter(_not_skipped(skip)).orderBy("participant_no", "participant")
 
 
 def _not_skipped(skip: Sequence[int]) -> Column:

@@ -54,7 +54,7 @@ def test_trials_are_numbered_by_participant_and_name(spark):
 
 
 def test_no_participants(spark):
-    with pytest.raises(ValueError, match="No valid participant"):
+    with pytest.raises(ValueError, match="none of the folders"):
         rec.ingest_trials(samples(spark, {"accel_foot_l.x": [1]}, participant="notes"))
 
 
