@@ -14,8 +14,9 @@ A pair is only looked at if the parities of both sets allow the similarity, a bo
 
 Texts without words have an empty set and are linked with nothing; fewer than five words make one shingle of
 the whole sequence. Null texts have no words. Texts are read whole. Rows without an id keep a null component. Rows that share
-an id are one document. An empty table gives an empty result. Sets are compared by 64-bit hashes of shingles and
-128-bit hashes of sets.
+an id are one document: equal sets of an id count once, each of its different sets is compared by itself, and what any of
+them is linked with is linked with the id, so all its rows have one component. An empty table gives an empty result. Sets
+are compared by 64-bit hashes of shingles and 128-bit hashes of sets.
 
 Documents that were compared with the same leader are not paired by their first shingles but by what tells them
 from the leader. With L the leader's set, D what a document lacks of it and E what it has besides, the overlap of two
@@ -111,6 +112,13 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat))
 
 
+def _signatures(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """128-bit hashes of sets, in two halves."""
+    found = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+    high, low = [(s >> 64) - (1 << 63) for s in found], [(s & ((1 << 64) - 1)) - (1 << 63) for s in found]
+    return pa.array(high, pa.int64()), pa.array(low, pa.int64())
+
+
 def frequent_shingles(rows: DataFrame, percent: int) -> np.ndarray:
     """Shingles in more than ``FREQUENT`` first parts by hash alone, at most ``MOST_FREQUENT``, sorted."""
 
@@ -133,24 +141,24 @@ def signed_sets(rows: DataFrame, percent: int) -> DataFrame:
         common = frequent.value
         for ids, found in _texts(batches):
             flat = np.concatenate([*found, np.zeros(0, np.uint64)])
+            sig1, sig2 = _signatures(found)
             at = np.searchsorted(common, flat)
             hot = np.zeros(len(flat), bool)
             inside = at < len(common)
             hot[inside] = common[at[inside]] == flat[inside]
-            begin, firsts, signatures = 0, [], []
+            begin, firsts = 0, []
             for s in found:
                 h, begin = hot[begin : begin + len(s)], begin + len(s)
                 p = first_part(len(s), percent)
                 cold = s[~h][:p]
                 firsts.append(cold if len(cold) == p else np.concatenate([cold, s[h][: p - len(cold)]]))
-                signatures.append(xxhash.xxh3_128_intdigest(s.tobytes()))
             odd = np.array([parities(s) for s in found], np.int64).reshape(-1, len(PARITIES))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
                     pa.array([len(s) for s in found], pa.int64()),
-                    pa.array([(s >> 64) - (1 << 63) for s in signatures], pa.int64()),
-                    pa.array([(s & ((1 << 64) - 1)) - (1 << 63) for s in signatures], pa.int64()),
+                    sig1,
+                    sig2,
                     _lists(firsts),
                     *[pa.array(odd[:, i]) for i in range(len(PARITIES))],
                 ],
@@ -328,6 +336,38 @@ def _among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
+def set_ids(known: DataFrame) -> DataFrame:
+    """(doc_id, sig1, sig2, id): every different set of the documents ``known`` has a number of its own. An id's least set
+    keeps the id, its others get hashes that are the id of no document."""
+    each = known.select("doc_id", "sig1", "sig2").distinct()
+    least = each.groupBy("doc_id").agg(F.min(F.struct("sig1", "sig2")).alias("least"))
+    each = stored(each.join(least, "doc_id").withColumn("own", F.struct("sig1", "sig2") == F.col("least")).drop("least"), "each")
+    salt = 0
+    while True:
+        number = F.when(F.col("own"), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "sig1", "sig2", F.lit(salt)))
+        out = each.select("doc_id", "sig1", "sig2", number.alias("id"))
+        if out.groupBy("id").count().where("count > 1").isEmpty():
+            return out
+        salt += 1
+
+
+def _one_per_set(rows: DataFrame, ids: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(doc_id, text): ``rows`` under the numbers of their sets, of rows with equal sets of a ``repeated`` id one."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                signed = _signatures([shingles(t.as_py(), hashes) for t in part.column(1)])
+                yield pa.RecordBatch.from_arrays([*part.columns, *signed], ["doc_id", "text", "sig1", "sig2"])
+
+    again = _among(rows, repeated, "left_semi").mapInArrow(sign, "doc_id long, text string, sig1 long, sig2 long")
+    once = again.groupBy("doc_id", "sig1", "sig2").agg(F.first("text").alias("text"))
+    once = stored(once.join(ids, ["doc_id", "sig1", "sig2"]).select(F.col("id").alias("doc_id"), "text"), "once")
+    return _among(rows, repeated, "left_anti").unionByName(once)
+
+
 def jaccard_classes(
     docs: DataFrame, percent: int = 80, record_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -337,6 +377,13 @@ def jaccard_classes(
     sets = stored(signed_sets(rows, percent), "sets")
     vertex = F.min(F.struct("doc_id", "n", "firsts", *PARITIES))
     known = sets.where("n > 0 and doc_id is not null")
+    repeated = sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = stored(repeated, "repeated")
+    once = repeated.isEmpty()
+    if not once:
+        ids = set_ids(known)
+        rows = _one_per_set(rows, ids, repeated)
+        known = known.join(ids, ["doc_id", "sig1", "sig2"]).drop("doc_id").withColumnRenamed("id", "doc_id")
     vertices = stored(known.groupBy("sig1", "sig2").agg(vertex.alias("v")), "vertices")
     dealt = vertices.select(F.col("v.doc_id").alias("id"), F.col("v.n").alias("n"), F.explode("v.firsts").alias("shingle"))
     shared = dealt.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
@@ -352,16 +399,37 @@ def jaccard_classes(
     odd = vertices.select(F.col("v.doc_id").alias("id"), *[f"v.{name}" for name in PARITIES])
     pairs = cross_pairs(current.join(odd, "id"), percent).select("a", "b", "n_a", "n_b")
     pairs = pairs.unionByName(family_pairs(_with_component(differences, found).join(odd, "id"), percent))
-    found = components(links.union(linked(stored(pairs, "pairs"), rows, percent)))
-    member = vertices.select("sig1", "sig2", F.col("v.doc_id").alias("id")).join(found, "id", "left")
-    member = member.select("sig1", "sig2", F.coalesce("component", "id").alias("component"))
+    links = links.union(linked(stored(pairs, "pairs"), rows, percent))
+    member = vertices.select("sig1", "sig2", F.col("v.doc_id").alias("id"))
+    if not once:
+        of_id = ids.select("doc_id", "sig1", "sig2").join(member, ["sig1", "sig2"]).select("doc_id", F.col("id").alias("b"))
+        of_id = stored(of_id, "of-id")
+        one = of_id.groupBy("doc_id").agg(F.min("b").alias("a"))
+        links = links.union(of_id.join(one, "doc_id").where("a <> b").select("a", "b"))
+    found = components(links)
+    member = member.join(found, "id", "left").select("sig1", "sig2", "id", F.coalesce("component", "id").alias("component"))
+    if not once:
+        return _by_id(sets, of_id.join(member.select(F.col("id").alias("b"), "component"), "b"))
+    member = member.drop("id")
     out = sets.drop("firsts", *PARITIES).join(member, ["sig1", "sig2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _by_id(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """The result where ids repeat: ``members`` (doc_id, component) has components under any number, one per id."""
+    members = stored(members.select("doc_id", "component").distinct(), "members")
+    least = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = members.join(least, "component").select("doc_id", "component_id")
+    out = sets.select("doc_id", F.col("n").alias("n_shingles"))
+    named = out.where("doc_id is not null").join(least, "doc_id", "left")
+    named = named.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return named.unionByName(out.where("doc_id is null").withColumn("component_id", F.lit(None).cast("long")))
+
+
 def one_per_component(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Of each component the document with its id, all columns as they were; rows without an id stay."""
+    """Of each component the document with its id, all columns as they were; rows without an id stay. Of rows that share
+    the id the one with the longest text stays."""
     classes = stored(jaccard_classes(docs, percent), "classes")
     out = _among(docs, classes.where("doc_id <> component_id").select("doc_id").distinct(), "left_anti")
     ids = classes.where("doc_id is not null and doc_id = component_id").select("doc_id")
@@ -369,5 +437,7 @@ def one_per_component(docs: DataFrame, percent: int = 80) -> DataFrame:
     if repeated.isEmpty():
         return out
     again = _among(out, repeated, "left_semi")
-    once = again.dropDuplicates(["doc_id"])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.octet_length("text"), F.col("text"))
+    once = again.groupBy("doc_id").agg(F.max_by(row, order).alias("_kept")).select("_kept.*")
     return _among(out, repeated, "left_anti").unionByName(once)

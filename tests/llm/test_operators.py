@@ -208,3 +208,50 @@ def test_toxicity(spark, sf_dir, nothing):
     assert toxicity.score(model, [3, 60]) > 0.7 > 0.5 > toxicity.score(model, [3])
     labels = spark.createDataFrame([], "doc_id long, label int")
     assert nothing.select(toxicity.scorer(nothing, toxicity.train(nothing, labels))("text")).count() == 0
+
+
+def shingle_labels(rows):
+    """Brute force: smallest id reachable by links between the texts of ids, or None."""
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} if t else set() for _, t in rows]
+    label = [i for i, _ in rows]
+    for _ in rows:
+        before = list(label)
+        for a, (i, _) in enumerate(rows):
+            for b, (j, _) in enumerate(rows[:a]):
+                alike = sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+                if None not in (i, j) and (i == j or alike):
+                    label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    return {(i, len(s), x) for (i, _), s, x in zip(rows, sets, label, strict=True)}
+
+
+def test_jaccard_repeated_rows(spark):
+    """A repeated row beside a text it shares half with, and beside one it is linked with; ids with different texts."""
+    base = [f"w{k}" for k in range(104)]
+    half = " ".join([*base[:71], *(f"v{k}" for k in range(33))])
+    rows = [(1, " ".join(base)), (2, half)] + [(2, half)] * 2 + [(1, " ".join(base))]
+    rows += [(11, " ".join(f"x{k}" for k in range(60))), (12, " ".join(f"x{k}" for k in range(58)))] * 2
+    a, b, c = (" ".join(f"{p}{k}" for k in range(50)) for p in "abc")
+    rows += [(20, a), (21, a), (21, b), (22, b + " end"), (22, None), (23, c), (23, c.upper()), (24, None), (24, ""), (None, a)]
+    rows += [(None, half), (31, c + " other"), (-40, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {tuple(r) for r in jaccard.jaccard_classes(docs).collect()}
+    assert got == shingle_labels([(i, t and t.lower()) for i, t in rows])
+    assert len(jaccard.jaccard_classes(docs).collect()) == len(rows)
+    kept = collections.Counter(r.doc_id for r in jaccard.one_per_component(docs).collect())
+    assert kept == {1: 1, 2: 1, 11: 1, 20: 1, 24: 1, -40: 1, None: 2}
+
+
+def test_jaccard_repeated_rows_in_families(spark):
+    """Near copies of one text, each of many rows: a multiple of what they lack from their leader takes no link away."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(40):
+        copy = [f"b{k}" for k in range(120)]
+        for at in rng.integers(0, 120, rng.integers(0, 4)):
+            copy[at] = f"edit{i}x{at}"
+        rows += [(i, " ".join(copy))] * (1 + i % 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in jaccard.jaccard_classes(docs).collect()]
+    assert len(got) == len(rows) and set(got) == shingle_labels(rows)
