@@ -14,8 +14,8 @@ by 128-bit hashes.
 
 Null texts are empty; texts under ``LENGTH`` bytes lose nothing. Documents are cut into pieces of bounded length for anchors only; windows do
 not stop at pieces. Rows without an id come before all others. Rows that repeat an id and a text are one document,
-and get equal results; different texts with one id do not repeat each other where their places are equal.
-An empty table gives an empty result.
+and get equal results. Different texts with one id, or without, are different documents: of those the smaller place is
+the earlier one, of equal places the one in the text with the smaller digest. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -129,50 +129,53 @@ def _binary(column: pa.Array) -> list[bytes]:
 
 
 def anchors(rows: DataFrame) -> DataFrame:
-    """(anchor, key, at, run): all runs of (key, data) rows."""
+    """(anchor, key, twin, at, run): all runs of (key, twin, data) rows."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                for ids, offsets, data, starts, ends in _pieces(part.column(0).to_pylist(), _binary(part.column(1))):
+                for rows_, offsets, data, starts, ends in _pieces(list(range(part.num_rows)), _binary(part.column(2))):
                     anchor, first, run = anchored_runs(data, starts, ends)
                     owner = np.searchsorted(starts, first, "right") - 1
+                    row = pa.array(np.array(rows_, np.int64)[owner])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(anchor.view(np.int64)),
-                            pa.array(np.array(ids, np.int64)[owner]),
+                            part.column(0).take(row),
+                            part.column(1).take(row),
                             pa.array(first - starts[owner] + offsets[owner]),
                             pa.array(run.astype(np.int32)),
                         ],
-                        ["anchor", "key", "at", "run"],
+                        ["anchor", "key", "twin", "at", "run"],
                     )
 
-    return rows.mapInArrow(found, "anchor long, key long, at long, run int")
+    return rows.mapInArrow(found, "anchor long, key long, twin string, at long, run int")
 
 
 def segments(rows: DataFrame) -> DataFrame:
-    """(anchor, d1, d2, segment, key, at): segments cut from (key, data, runs) rows, with their 128-bit digest."""
+    """(anchor, d1, d2, segment, key, twin, at): segments cut from (key, twin, data, runs) rows, with their 128-bit digest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part, out = batch.slice(i, 200), []
-                for key, data, runs in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for key, twin, data, runs in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     for r in runs:
                         piece = data[r["at"] : r["at"] + r["run"] + LENGTH - 1]
                         d = xxhash.xxh3_128_intdigest(piece)
-                        out.append((r["anchor"], (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), piece, key, r["at"]))
-                names = ["anchor", "d1", "d2", "segment", "key", "at"]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-                columns = zip(*out, strict=True) if out else [[]] * 6
+                        high, low = (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
+                        out.append((r["anchor"], high, low, piece, key, twin, r["at"]))
+                names = ["anchor", "d1", "d2", "segment", "key", "twin", "at"]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
+                columns = zip(*out, strict=True) if out else [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return rows.mapInArrow(cut, "anchor long, d1 long, d2 long, segment binary, key long, at long")
+    return rows.mapInArrow(cut, "anchor long, d1 long, d2 long, segment binary, key long, twin string, at long")
 
 
 def later_windows(shard: pd.DataFrame) -> pd.DataFrame:
-    """(key, at, end): bytes of windows in a shard's segments that stand earlier in another segment."""
+    """(key, twin, at, end): bytes of windows in a shard's segments that stand earlier in another segment."""
     pieces = shard["segment"].tolist()
     n = np.array([len(p) for p in pieces], np.int64)
     starts = np.cumsum(n + 1) - (n + 1)
@@ -188,10 +191,12 @@ def later_windows(shard: pd.DataFrame) -> pd.DataFrame:
     # windows equal to the one before; between them stand no other suffixes
     group = np.cumsum(common[ordered] < LENGTH)
     key, at = shard["key"].to_numpy()[owner[ordered]], shard["at"].to_numpy()[owner[ordered]] + within[ordered]
+    twins = shard["twin"].to_numpy()
+    twin = np.unique(twins.astype(str), return_inverse=True)[1][owner[ordered]]
     age = np.empty(len(ordered), np.int64)
-    age[np.lexsort((at, key))] = np.arange(len(ordered))
+    age[np.lexsort((twin, at, key))] = np.arange(len(ordered))
     if not len(ordered):
-        return pd.DataFrame({"key": [], "at": [], "end": []}, dtype="int64")
+        return pd.DataFrame({"key": [], "twin": [], "at": [], "end": []}, dtype="int64").astype({"twin": str})
     _, cuts = np.unique(group, return_index=True)
     oldest = np.minimum.reduceat(age, cuts)
     later = age > np.repeat(oldest, np.diff(np.r_[cuts, len(ordered)]))
@@ -201,24 +206,27 @@ def later_windows(shard: pd.DataFrame) -> pd.DataFrame:
     first, last = edge[::2], edge[1::2]
     # runs of one segment: windows of two segments never touch, a segment's last bytes start none
     base = shard["at"].to_numpy()[owner[first]] - starts[owner[first]]
-    return pd.DataFrame({"key": shard["key"].to_numpy()[owner[first]], "at": base + first, "end": base + last - 1 + LENGTH})
+    key, twin = shard["key"].to_numpy()[owner[first]], twins[owner[first]]
+    return pd.DataFrame({"key": key, "twin": twin, "at": base + first, "end": base + last - 1 + LENGTH})
 
 
 def _window_rows(rows: DataFrame) -> DataFrame:
-    """(w1, w2, key, at): every window of the segments, by 128-bit hash."""
+    """(w1, w2, key, twin, at): every window of the segments, by 128-bit hash."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 out = []
-                for piece, key, at in zip(*(c.to_pylist() for c in batch.slice(i, 2000).columns), strict=True):
+                for piece, key, twin, at in zip(*(c.to_pylist() for c in batch.slice(i, 2000).columns), strict=True):
                     for j in range(len(piece) - LENGTH + 1):
                         d = xxhash.xxh3_128_intdigest(piece[j : j + LENGTH])
-                        out.append(((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), key, at + j))
-                columns = zip(*out, strict=True) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["w1", "w2", "key", "at"])
+                        out.append(((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), key, twin, at + j))
+                names = ["w1", "w2", "key", "twin", "at"]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+                columns = zip(*out, strict=True) if out else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return rows.select("segment", "key", "at").mapInArrow(cut, "w1 long, w2 long, key long, at long")
+    return rows.select("segment", "key", "twin", "at").mapInArrow(cut, "w1 long, w2 long, key long, twin string, at long")
 
 
 def _among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -233,13 +241,29 @@ def _keyed(docs: DataFrame, record_id: str, text: str, *more: str) -> DataFrame:
     )
 
 
+def _told_apart(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """``rows`` with ``twin``: the digest of texts without an id and of those that share the id with ``several`` texts,
+    empty for all others, whose id says which text it is."""
+    own = F.col("key") == NO_ID
+    if not several.isEmpty():
+        small = several.count() <= BROADCAST_IDS
+        marks = several.withColumn("_several", F.lit(True))
+        rows = rows.join(F.broadcast(marks) if small else marks, "key", "left")
+        own = own | F.col("_several").isNotNull()
+    return rows.select("key", F.when(own, F.md5("data")).otherwise(F.lit("")).alias("twin"), "data")
+
+
 def repeated_spans(docs: DataFrame, record_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(copies, spans): ``copies`` (key, digest) are documents that go as a whole, since their text stands earlier;
     ``spans`` (key, digest, spans) has the other documents' repeated stretches, in no order and overlapping."""
     rows = _keyed(docs, record_id, text)
     digest = F.md5("data")
     base = materialise(rows.select("key", digest.alias("digest"), (F.octet_length("data") >= LENGTH).alias("long")))
-    base = base.where("long").select("key", "digest").distinct()
+    # minima, not sets: a third of all rows may have no id
+    several = base.where(F.col("key") != NO_ID).groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    several = materialise(several.where("low <> high").select("key"))
+    counted = materialise(base.where("long").groupBy("key", "digest").agg(F.count("*").alias("k")))
+    base = counted.select("key", "digest")
     oldest = base.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = stored(base.join(oldest, "digest").where("key <> first").select("key", "digest"), "copies")
     whole = rows.where(F.octet_length("data") >= LENGTH)
@@ -247,20 +271,28 @@ def repeated_spans(docs: DataFrame, record_id: str = "doc_id", text: str = "text
         small = copies.count() <= BROADCAST_IDS
         gone = F.broadcast(copies) if small else copies
         whole = whole.withColumn("digest", digest).join(gone, ["key", "digest"], "left_anti").drop("digest")
+    again = counted.where("k > 1").select("key", "digest")
+    if not again.isEmpty():
+        once = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+        whole = whole.withColumn("digest", digest)
+        first = whole.join(once, ["key", "digest"], "left_semi").groupBy("key", "digest").agg(F.first("data").alias("data"))
+        whole = whole.join(once, ["key", "digest"], "left_anti").select("key", "data").union(first.select("key", "data"))
+    whole = _told_apart(whole, several)
 
     runs = anchors(whole)
     often = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     met = stored(runs.join(often, "anchor"), "runs")
-    per_document = met.groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "run")).alias("runs"))
+    per_document = met.groupBy("key", "twin").agg(F.collect_list(F.struct("anchor", "at", "run")).alias("runs"))
     ids = materialise(met.select("key").distinct())
-    occurrences = stored(segments(_among(whole, ids, "left_semi").join(per_document, "key")), "segments")
+    cut = _among(whole, ids, "left_semi").join(per_document, ["key", "twin"]).select("key", "twin", "data", "runs")
+    occurrences = stored(segments(cut), "segments")
 
     same = ["anchor", "d1", "d2"]
-    oldest = occurrences.groupBy(*same).agg(F.min(F.struct("key", "at", "segment")).alias("o"))
+    oldest = occurrences.groupBy(*same).agg(F.min(F.struct("key", "at", "twin", "segment")).alias("o"))
     distinct = stored(oldest.select(*same, "o.*"), "distinct")
-    first = distinct.select(*same, F.col("key").alias("first_key"), F.col("at").alias("first_at"))
+    first = distinct.select(*same, *[F.col(c).alias(f"first_{c}") for c in ("key", "twin", "at")])
     again = occurrences.withColumn("end", F.col("at") + F.octet_length("segment")).drop("segment").join(first, same)
-    again = again.where("key <> first_key or at <> first_at").select("key", "at", "end")
+    again = again.where("key <> first_key or at <> first_at or twin <> first_twin").select("key", "twin", "at", "end")
 
     per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.octet_length("segment")).alias("bytes"))
     per_anchor = materialise(per_anchor.where("n > 1"))
@@ -268,14 +300,17 @@ def repeated_spans(docs: DataFrame, record_id: str = "doc_id", text: str = "text
     shards = max(1, -(-bytes_ // SHARD_BYTES))
     shared = distinct.join(per_anchor.select("anchor", "n"), "anchor")
     in_shards = shared.where(F.col("n") <= MOST_SEGMENTS).withColumn("shard", F.pmod("anchor", F.lit(shards)))
-    later = in_shards.select("shard", "segment", "key", "at").groupBy("shard").applyInPandas(later_windows, "key long, at long, end long")
+    later = in_shards.select("shard", "segment", "key", "twin", "at").groupBy("shard")
+    later = later.applyInPandas(later_windows, "key long, twin string, at long, end long")
     spans = again.union(later)
     if not per_anchor.where(F.col("n") > MOST_SEGMENTS).isEmpty():
         windows = stored(_window_rows(shared.where(F.col("n") > MOST_SEGMENTS)), "windows")
-        eldest = windows.groupBy("w1", "w2").agg(F.min(F.struct("key", "at")).alias("o"))
-        rest = windows.join(eldest, ["w1", "w2"]).where("key <> o.key or at <> o.at")
-        spans = spans.union(rest.select("key", "at", (F.col("at") + LENGTH).alias("end")))
-    return copies, stored(spans.groupBy("key").agg(F.collect_list(F.struct("at", "end")).alias("spans")), "spans")
+        eldest = windows.groupBy("w1", "w2").agg(F.min(F.struct("key", "at", "twin")).alias("o"))
+        rest = windows.join(eldest, ["w1", "w2"]).where("key <> o.key or at <> o.at or twin <> o.twin")
+        spans = spans.union(rest.select("key", "twin", "at", (F.col("at") + LENGTH).alias("end")))
+    spans = stored(spans.groupBy("key", "twin").agg(F.collect_list(F.struct("at", "end")).alias("spans")), "spans")
+    alone = spans.where("twin = ''").join(base, "key").select("key", "digest", "spans")
+    return copies, stored(alone.union(spans.where("twin <> ''").select("key", "twin", "spans")), "spans")
 
 
 def removed(size: int, spans: list) -> np.ndarray:
@@ -326,7 +361,7 @@ def with_kept_bytes(
     marked = gone.withColumn("copy", F.lit(True)).distinct()
     flag = lambda df: df.join(marked, ["key", "digest"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     some, others = flag(some), flag(others)
-    partly = some.where("not copy").join(spans, "key").select("_row", "data", "spans").mapInArrow(cut, schema.add("kept", kind))
+    partly = some.where("not copy").join(spans, ["key", "digest"], "left").select("_row", "data", "spans").mapInArrow(cut, schema.add("kept", kind))
     rest = others.unionByName(some.where("copy"))
     left = F.when(F.col("copy"), F.lit(b"")).otherwise(F.col("data"))
     rest = rest.select(

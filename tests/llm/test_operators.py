@@ -255,3 +255,32 @@ def test_jaccard_repeated_rows_in_families(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = [tuple(r) for r in jaccard.jaccard_classes(docs).collect()]
     assert len(got) == len(rows) and set(got) == shingle_labels(rows)
+
+
+def test_repeats_texts_that_share_an_id(spark, monkeypatch):
+    """Texts of different length without an id and under one id, and repeated rows; the longest ones repeat passages."""
+    passage, other = (" ".join(f"{p}{k}" for k in range(50)) for p in ("pass", "more"))
+    fill = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(None, fill("short", 30)), (None, fill("long", 300) + passage + fill("mid", 40) + passage), (None, "tiny")]
+    rows += [(None, fill("head", 40) + fill("one", 30)), (None, fill("head", 40) + fill("two", 90))]
+    rows += [(7, fill("a", 400) + other + "." + other), (7, fill("b", 60)), (7, ""), (7, None), (9, fill("c", 30) + other)]
+    rows += [(9, fill("c", 30) + other), (8, passage), (None, fill("short", 30)), (10, fill("b", 60))]
+    order = lambda r: (-1 if r[0] is None else r[0], hashlib.md5((r[1] or "").encode()).hexdigest())
+    eldest = {}
+    for r in {(i, t or "") for i, t in rows}:
+        for p in range(len(r[1]) - 99):
+            place = (order(r)[0], p, order(r)[1])
+            eldest[r[1][p : p + 100]] = min(eldest.get(r[1][p : p + 100], place), place)
+    want = collections.Counter()
+    for r in rows:
+        gone, text = np.zeros(len(r[1] or "") + 1, int), r[1] or ""
+        for p in range(len(text) - 99):
+            if eldest[text[p : p + 100]] != (order(r)[0], p, order(r)[1]):
+                gone[p : p + 100] = 1
+        kept = "".join(x for x, g in zip(text, gone, strict=False) if not g)
+        want[r[0], len(text), int(gone.sum()), int((np.diff(np.r_[0, gone]) == 1).sum()), kept] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (repeats.MOST_SEGMENTS, 0):
+        monkeypatch.setattr(repeats, "MOST_SEGMENTS", most)
+        out = repeats.with_kept_bytes(docs, as_text=True).collect()
+        assert collections.Counter((r._row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in out) == want
