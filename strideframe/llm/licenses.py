@@ -1,10 +1,11 @@
 """License scans with a positional index of rare template words, in DataFrame expressions only.
 
-Templates of license notices are indexed by word: (template, position). A file's licence words with the highest
-inverse document frequency in the whole corpus are looked up; every occurrence votes for the place at which a template would
-start (its own position less the word's position in the template). Places with votes from two words are
+Templates of license notices are indexed by word: (template, position). Of every template's mandatory key phrase the
+words with the highest inverse document frequency in the whole corpus are looked up; every occurrence votes for the place at
+which a template would start (its own position less the word's position in the template). Places with votes from two words are
 candidates, and a candidate counts if the template's mandatory key phrase stands there. Its score is the share
-of template words that stand at their places.
+of template words that stand at their places. Wherever a key phrase stands, its looked-up words vote, so no place is
+missed, whatever else the file holds and whichever words the corpus makes rare.
 
 Beside the templates, base phrases are looked up word by word and keep their own labels.
 
@@ -42,8 +43,7 @@ TEMPLATES: list[tuple[str, str, str]] = [
 #: Template words that say nothing about a licence; they are verified, not looked up.
 PLAIN = set("the is to a of this in and with or any are free use under work person copy without 0 2 3 4 all by".split())
 
-#: Rare words looked up per file, and words that must agree on a place.
-RARE_WORDS = 8
+#: Words that must agree on a place, and words looked up per key phrase; every key phrase has as many that are not plain.
 VOTES = 2
 
 
@@ -75,6 +75,14 @@ def licence_words_by_rarity(docs: DataFrame, text: str) -> list[str]:
     return sorted(postings(), key=lambda w: (counts.get(w, 0), w))
 
 
+def looked_up(by_rarity: list[str]) -> list[str]:
+    """The ``VOTES`` rarest words of every key phrase, rarest first."""
+    chosen: set[str] = set()
+    for _, _, key in TEMPLATES:
+        chosen.update(sorted(set(key.split()) - PLAIN, key=by_rarity.index)[:VOTES])
+    return [w for w in by_rarity if w in chosen]
+
+
 def _base_places(words: Column) -> Column:
     """(start, label) of every base phrase."""
 
@@ -139,7 +147,7 @@ def with_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     out = docs.withColumn("_license_words", words_of(lowered(F.col(f"`{text}`"))))
     known = list(dict.fromkeys([*by_rarity, *(w for phrase in BASE for w in phrase.split())]))
     out = out.withColumn("_license_present", F.array_intersect(F.array(*map(F.lit, known)), words))
-    out = out.withColumn("_license_rare", F.slice(F.array_intersect(F.array(*map(F.lit, by_rarity)), present), 1, RARE_WORDS))
+    out = out.withColumn("_license_rare", F.array_intersect(F.array(*map(F.lit, looked_up(by_rarity))), present))
     possible = F.lit(False)  # all words of a phrase are somewhere
     for phrase in BASE:
         possible = possible | (F.size(F.array_except(F.array(*map(F.lit, phrase.split())), present)) == 0)

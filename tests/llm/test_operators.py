@@ -284,3 +284,35 @@ def test_repeats_texts_that_share_an_id(spark, monkeypatch):
         monkeypatch.setattr(repeats, "MOST_SEGMENTS", most)
         out = repeats.with_kept_bytes(docs, as_text=True).collect()
         assert collections.Counter((r._row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in out) == want
+
+
+def test_licenses_of_several_notices(spark):
+    """Files of up to five notices, with ordinary words that templates also hold, against a scan of all templates; the
+    same files in a corpus of other frequencies."""
+    rng, notices = np.random.default_rng(11), [n for _, n, _ in licenses.TEMPLATES]
+    common = "source forms terms subject charge public license software granted international permission".split()
+    texts = []
+    for i in range(150):
+        parts = [notices[k] for k in rng.choice(len(notices), 1 + i % 5, replace=False)]
+        if i % 4 == 0:
+            parts = [" ".join(w for w in p.split() if rng.random() > 0.1) for p in parts]
+        texts.append(" ".join(x for p in parts for x in (" ".join(rng.choice(common, rng.integers(0, 9))), p.title(), ".")))
+
+    def scanned(text):
+        w, labels, score = re.findall(r"[a-z0-9]+", text.lower()), set(), 0.0
+        holds = lambda at, phrase: at >= 0 and w[at : at + len(phrase)] == phrase
+        labels.update(x for p, x in licenses.BASE.items() for i in range(len(w)) if holds(i, p.split()))
+        for label, notice, key in licenses.TEMPLATES:
+            n, must = notice.split(), key.split()
+            offset = next(i for i in range(len(n)) if n[i : i + len(must)] == must)
+            for i in (i for i in range(len(w)) if holds(i, must)):
+                labels.add(label)
+                stand = sum(0 <= i - offset + k < len(w) and w[i - offset + k] == x for k, x in enumerate(n))
+                score = max(score, stand / len(n))
+        return ",".join(sorted(labels)), pytest.approx(score)
+
+    rows = list(enumerate(texts))
+    for more in ([], [(-1, " ".join(notices[:4]))] * 200):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+        for r in licenses.with_licenses(docs).where("doc_id >= 0").collect():
+            assert (r.labels, r.score) == scanned(texts[r.doc_id])
