@@ -39,15 +39,17 @@ def sequential_split(
     No row is numbered to find its part. Rows are counted per (stratum, trial); the counts give the
     trials in which the boundaries fall. In those, counts per cell of TIME narrow a boundary down to
     a short stretch, and only its rows are put in order. Every row of the table then just compares
-    its (TRIAL, TIME, ties) with its stratum's two boundary rows, so the wide table is neither
-    shuffled nor sorted. Without ``ties`` rows of equal (TRIAL, TIME) go to the same part.
+    its (TRIAL, TIME, ties, hash of the row) with its stratum's two boundary rows, so the wide table
+    is neither shuffled nor sorted. Rows that ``ties`` leave equal are in the order of their hashes.
+    Only where a boundary falls between equal rows, these are numbered.
     """
     if not 0 <= train_size <= 1:
         raise ValueError(f"train_size is a share of the rows, from 0 to 1; {train_size} is not")
 
     keyed = df.withColumn("_key", stratum_key(strata)).filter("_key is not null")
-    order = [TRIAL, TIME, *ties]
-    narrow = keyed.select("_key", *[col(c) for c in order])
+    keyed = keyed.withColumn("_hash", F.xxhash64(*[col(c) for c in df.columns]))
+    order = [TRIAL, TIME, *ties, "_hash"]
+    narrow = keyed.select("_key", *[col(c) for c in order])  # the hash is read for boundary rows only
 
     counts = materialise(
         narrow.groupBy("_key", TRIAL).agg(
@@ -62,13 +64,29 @@ def sequential_split(
 
     edges = materialise(_boundary_rows(narrow, trials, cuts, order))
     row = _row_key(order)
-    part = (
-        F.when(F.col("_cut").isNull() | (row < F.col("_cut")), F.lit(TRAIN))
-        .when(F.col("_test").isNotNull() & (row >= F.col("_test")), F.lit(TEST))
+    placed = lookup_join(keyed, edges, ["_key"], [F.col(TRIAL), F.col(TIME)], "inner")
+    columns = [col(c) for c in df.columns]
+    if edges.filter("_cut_into > 0 or _test_into > 0").isEmpty():
+        return placed.select(*columns, _part(row).alias(out))
+    shared = ((F.col("_cut_into") > 0) & (row == F.col("_cut"))) | ((F.col("_test_into") > 0) & (row == F.col("_test")))
+    shared = F.coalesce(shared, F.lit(False))
+    equal = Window.partitionBy("_key", *[col(c) for c in order]).orderBy("_hash")
+    numbered = placed.filter(shared).withColumn("_place", F.row_number().over(equal) - 1)
+    rest = placed.filter(~shared).select(*columns, _part(row).alias(out))
+    return rest.union(numbered.select(*columns, _part(row, F.col("_place")).alias(out)))
+
+
+def _part(row: Column, place: Column | None = None) -> Column:
+    """Part of a row, for one of several equal rows by its ``place`` among them."""
+    before, behind = row < F.col("_cut"), row >= F.col("_test")
+    if place is not None:
+        before = before | ((row == F.col("_cut")) & (place < F.col("_cut_into")))
+        behind = (row > F.col("_test")) | ((row == F.col("_test")) & (place >= F.col("_test_into")))
+    return (
+        F.when(F.col("_cut").isNull() | before, F.lit(TRAIN))
+        .when(F.col("_test").isNotNull() & behind, F.lit(TEST))
         .otherwise(F.lit(GAP))
     )
-    placed = lookup_join(keyed, edges, ["_key"], [F.col(TRIAL), F.col(TIME)], "inner")
-    return placed.select(*[col(c) for c in df.columns], part.alias(out))
 
 
 def _row_key(order: Sequence[str]) -> Column:
@@ -115,7 +133,8 @@ def _cuts(trials: DataFrame, train_size: float, gap: int) -> DataFrame:
 
 
 def _boundary_rows(narrow: DataFrame, trials: DataFrame, cuts: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Order key of the rows at the two boundary positions, NULL for a position behind the last row."""
+    """Order key of the rows at the two boundary positions, NULL for a position behind the last row, and how many equal
+    rows are before each of them."""
     wanted = F.array(
         F.struct(F.lit("_cut").alias("which"), F.col("_cut_at").alias("at")),
         F.struct(F.lit("_test").alias("which"), F.col("_test_from").alias("at")),
@@ -136,12 +155,15 @@ def _boundary_rows(narrow: DataFrame, trials: DataFrame, cuts: DataFrame, order:
     hits = (
         _rows_in(narrow, stretches, size)
         .withColumn("_number", F.row_number().over(numbered))
+        .withColumn("_into", F.col("_number") - F.rank().over(numbered))
         .filter(F.col("_number") == F.col("_place") + 1)
         .withColumn("_row", _row_key(order))
     )
     found = hits.groupBy("_key").agg(
         F.max(F.when(F.col("which") == "_cut", F.col("_row"))).alias("_cut"),
         F.max(F.when(F.col("which") == "_test", F.col("_row"))).alias("_test"),
+        F.max(F.when(F.col("which") == "_cut", F.col("_into"))).alias("_cut_into"),
+        F.max(F.when(F.col("which") == "_test", F.col("_into"))).alias("_test_into"),
     )
     return cuts.select("_key").join(found, "_key", "left")
 

@@ -177,3 +177,23 @@ def test_scaler(spark):
     assert scaler["b"] == (5.0, 1.0)
     row = apply_scaler(spark.createDataFrame([(4.0, 6.0)], "`a.x` double, b double"), scaler).first()
     assert tuple(row) == (pytest.approx(2 / (2 / 3) ** 0.5), 1.0)
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_rows_of_equal_time_are_shared(spark, same):
+    """Without ties: ten rows of one TIME, equal or not, and a stratum whose boundaries both fall into equal rows."""
+    rows = [(0, 5, "A", 0 if same else i) for i in range(10)]
+    rows += [(1, t, "B", 0 if same else i) for i, t in enumerate([1, 2, *[3] * 20, 4])]
+    df = spark.createDataFrame(rows, "TRIAL int, TIME int, ACTIVITY string, Value int")
+    for size, gap, want in [
+        (0.5, 0, {"A": (5, 0, 5), "B": (11, 0, 12)}),
+        (0.5, 3, {"A": (5, 3, 2), "B": (11, 3, 9)}),
+        (0.1, 4, {"A": (1, 4, 5), "B": (2, 4, 17)}),
+    ]:
+        out = sequential_split(df, size, gap).cache()
+        assert out.columns == [*df.columns, "part"]
+        assert sorted(tuple(r)[:4] for r in out.collect()) == sorted(rows)
+        n = {(r["ACTIVITY"], r["part"]): r["count"] for r in out.groupBy("ACTIVITY", "part").count().collect()}
+        assert {a: tuple(n.get((a, p), 0) for p in ("train", "gap", "test")) for a in "AB"} == want
+        parts_of = lambda: sorted(map(tuple, sequential_split(df.repartition(3), size, gap).collect()))
+        assert sorted(map(tuple, out.collect())) == parts_of()
