@@ -21,6 +21,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,9 @@ COUNT_BYTES = 32
 _SINGLE_BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _FIRM = frozenset(map(chr, range(0x21, 0x7F)))
 
+#: What a text must hold for any of its cuts to lack a firm character.
+_LOOSE = re.compile(r"[^!-~\w \n]|[ \n][ \n]|^[ \n]|[ \n]\Z")
+
 _loaded: dict[tuple[str, str], "Aligner"] = {}
 
 
@@ -115,6 +119,8 @@ class Aligner:
             first, *rest = line.split(" ")
             parts.append(("\n" if i else " ") + first)
             parts += [" " + w for w in rest]
+        if not _LOOSE.search(text):
+            return parts
         cuts, before = [0], False
         for i, part in enumerate(parts):
             if before and _is_firm(part[1:2]):
@@ -166,7 +172,7 @@ class Aligner:
         a_ids = np.array(encoding.ids, np.int64)
         data = np.frombuffer(text.encode(), np.uint8)
         at = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]  # byte of each character
-        offsets = at[np.array(encoding.offsets, np.int64).reshape(-1, 2)]
+        offsets = at[np.fromiter(chain.from_iterable(encoding.offsets), np.int64).reshape(-1, 2)]
         a_ends = _refined(offsets[:, 0], offsets[:, 1], self.a_sizes[a_ids])
         spaced = text[0] == " "
         pieces = self.b.encode(text[1:] if spaced else text, return_type="proto").pieces
