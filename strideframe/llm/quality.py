@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strideframe.llm.stored import stored
+
 #: Classes of ASCII white space, symbols and capitals.
 SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOL = "[#*$%&|<>]"
@@ -132,7 +134,12 @@ def verdict(rules: list[tuple[str, str, float | None, float | None]]) -> Column:
 
 
 def passing(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents the rules keep, with the columns they came with."""
+    """The documents the rules keep, with the columns they came with.
+
+    The verdicts are stored with the rows before they filter: a condition on ``kept`` would be moved below the
+    measures and repeat each of them wherever the next one uses it.
+    """
     names = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    return with_measures(held, "_text").where("kept").select("_row.*")
+    judged = stored(with_measures(held, "_text").select("_row", "kept"), "quality")
+    return judged.where("kept").select("_row.*")
