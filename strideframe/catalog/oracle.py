@@ -316,6 +316,38 @@ SELECT "TRIAL", CAST(frame * 1000 // rate AS BIGINT) AS "TIME", {columns}, {ACTI
 FROM numbered GROUP BY "TRIAL", filename, frame, rate"""
 
 
+INCREMENT = f"""WITH {RECORDINGS},
+extents AS (
+  SELECT participant, no, filename, CASE WHEN regexp_extract(filename, 'take(\\d+)', 1)::INTEGER % 2 = 0 THEN 1 ELSE 2 END AS batch,
+         count(DISTINCT frame) AS frames, max(CAST(frame * 1000 // rate AS BIGINT)) AS last_time
+  FROM recordings WHERE no <> 4 GROUP BY participant, no, filename)
+SELECT batch, participant, filename, row_number() OVER (ORDER BY batch, no, filename) - 1 AS "TRIAL",
+       {ACTIVITY_SQL} AS "ACTIVITY", CAST({INCLINE_SQL} AS BIGINT) AS "INCLINE", round({SPEED_SQL}, 4) AS "SPEED", frames, last_time
+FROM extents"""
+
+ALIGNMENT = f"""WITH {RECORDINGS},
+takes AS (SELECT *, regexp_extract(filename, 'take(\\d+)', 1)::INTEGER AS take FROM lowered WHERE no <> 4),
+altered AS (
+  SELECT DISTINCT dense_rank() OVER (ORDER BY no, filename) - 1 AS "TRIAL",
+         CASE WHEN take % 5 = 1 AND label = 'accel_foot_l.x' THEN 'mag_foot_l.x' ELSE {TIDY} END AS channel
+  FROM takes WHERE NOT (take % 7 = 3 AND label = 'accel_l_shank.z')),
+wanted AS (SELECT channel FROM altered WHERE "TRIAL" = 0),
+trials AS (SELECT DISTINCT "TRIAL" FROM altered)
+SELECT "TRIAL", channel, 'missing' AS difference
+FROM (SELECT "TRIAL", channel FROM trials, wanted EXCEPT SELECT "TRIAL", channel FROM altered)
+UNION ALL
+SELECT "TRIAL", channel, 'extra' AS difference FROM altered WHERE channel NOT IN (SELECT channel FROM wanted)"""
+
+EMPTY_RECORDINGS = f"""WITH {TRIAL_FILES},
+listed AS (SELECT DISTINCT participant, filename, no FROM trial_files),
+counted AS (
+  SELECT participant, filename, count(*) AS n FROM files JOIN lineitem ON l_orderkey = o_orderkey
+  WHERE l_quantity = 50 GROUP BY participant, filename)
+SELECT l.participant, l.filename, coalesce(n, 0) AS samples,
+       CASE WHEN n IS NOT NULL THEN row_number() OVER (PARTITION BY n IS NULL ORDER BY no, l.participant, l.filename) - 1 END AS "TRIAL"
+FROM listed l LEFT JOIN counted c ON l.participant = c.participant AND l.filename = c.filename"""
+
+
 # --- scores -----------------------------------------------------------------------------------
 
 
@@ -413,6 +445,9 @@ ORACLE: dict[str, str] = {
     "channel_normalise": NORMALISE,
     "channel_select": SELECT_CHANNELS,
     "ingest_trials": _ingest(),
+    "ingest_increment": INCREMENT,
+    "channel_alignment": ALIGNMENT,
+    "empty_recordings": EMPTY_RECORDINGS,
     "confusion_matrix": _confusion(),
     "classification_scores": CLASSIFICATION,
     "regression_scores": REGRESSION,
@@ -421,4 +456,5 @@ ORACLE: dict[str, str] = {
     "importance_rollup": ROLLUP,
     "run_components": RUN_COMPONENTS,
     "validation_ledger": LEDGER,
+    "ledger_retry": LEDGER,
 }

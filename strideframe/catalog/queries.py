@@ -20,8 +20,9 @@ from strideframe.operators.scale import apply_scaler, fit_scaler
 from strideframe.operators.split import TEST, TRAIN, sequential_split, split_balance
 from strideframe.plans import neural, scoring, training
 from strideframe.plans.workflow import run_workflow
+from strideframe.sources import increment
 from strideframe.sources import recordings as rec
-from strideframe.sources.tables import append_ledger, read_ledger, write_features
+from strideframe.sources.tables import append_ledger, read_ledger, record_once, write_features
 from strideframe.storage import scratch_path
 
 PERIOD = 10
@@ -218,6 +219,38 @@ def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cast)
 
 
+def ingest_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even takes come first, then a batch with all takes, of which the odd ones are new; that batch is given twice."""
+    data, path = tables.recordings(spark, sf_dir), scratch_path(spark, "increment")
+    even = F.regexp_extract("filename", r"take(\d+)", 1).cast("int") % 2 == 0
+    increment.ingest_increment(data.where(even), path, 1, [4], missing_locations=MISSING)
+    for _ in range(2):
+        increment.ingest_increment(data, path, 2, [4], missing_locations=MISSING)
+    return increment.trial_extents(spark, path).select(
+        "batch",
+        "participant",
+        "filename",
+        F.col(TRIAL).cast("long").alias(TRIAL),
+        ACTIVITY,
+        F.col(INCLINE).cast("long").alias(INCLINE),
+        F.round(F.col(SPEED).cast("double"), 4).alias(SPEED),
+        "frames",
+        "last_time",
+    )
+
+
+def channel_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels that trials lack or have besides those of the first trial."""
+    found = rec.ingest_parts(tables.altered_recordings(spark, sf_dir), [4], MISSING, strict=False).differences
+    return found.select(F.col(TRIAL).cast("long").alias(TRIAL), "channel", "difference")
+
+
+def empty_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed files with their samples; files without any take no number."""
+    states = rec.recording_states(tables.files(spark, sf_dir), tables.file_samples(spark, sf_dir), [15, 16])
+    return states.withColumn(TRIAL, F.col(TRIAL).cast("long"))
+
+
 # --- scores -----------------------------------------------------------------------------------
 
 
@@ -266,6 +299,17 @@ def validation_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(read_ledger(spark, path))
 
 
+def ledger_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both rows appended twice, as a retried job would: each stands once."""
+    path = scratch_path(spark, "ledger")
+    classes = metrics.classification_scores(tables.class_predictions(spark, sf_dir), "label", "prediction")
+    values = metrics.regression_scores(tables.value_predictions(spark, sf_dir), "label", "prediction")
+    for _ in range(2):
+        record_once(scoring.ledger_row(classes, ACTIVITY, "models/LR_run/activity", "data/events.parquet"), path)
+        record_once(scoring.ledger_row(values, SPEED, "models/LR_run/speed", "data/lineitem.parquet"), path)
+    return rounded(read_ledger(spark, path))
+
+
 # --- models -----------------------------------------------------------------------------------
 
 
@@ -387,6 +431,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "channel_normalise": channel_normalise,
     "channel_select": channel_select,
     "ingest_trials": ingest,
+    "ingest_increment": ingest_increment,
+    "channel_alignment": channel_alignment,
+    "empty_recordings": empty_recordings,
     "confusion_matrix": confusion_matrix,
     "classification_scores": classification_scores,
     "regression_scores": regression_scores,
@@ -395,6 +442,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "importance_rollup": importance_rollup,
     "run_components": run_components,
     "validation_ledger": validation_ledger,
+    "ledger_retry": ledger_retry,
     "activity_classifier": activity_classifier("LR"),
     "activity_classifier_forest": activity_classifier("RF"),
     "activity_classifier_boosted": activity_classifier("LGBM"),

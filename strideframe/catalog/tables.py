@@ -162,6 +162,21 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def altered_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings whose channels differ: some takes lack one, some have another name for one."""
+    take = F.regexp_extract("filename", r"take(\d+)", 1).cast("int")
+    changed = F.when((take % 5 == 1) & (F.col("label") == "Accel_Foot_L.x"), F.lit("Mag_Foot_L.x")).otherwise(F.col("label"))
+    kept = ~((take % 7 == 3) & (F.col("label") == "Accel_L_Shank.z"))
+    return recordings(spark, sf_dir).where(kept).withColumn("label", changed)
+
+
+def file_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of the order files: lines of the largest quantity, so that some files have none."""
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity = 50")
+    named = files(spark, sf_dir).withColumnRenamed("o_orderkey", "l_orderkey")
+    return lines.select("l_orderkey", "l_linenumber").join(named, "l_orderkey")
+
+
 def class_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types as classes; a third of the predictions say ``click``."""
     kind = F.col("event_type")

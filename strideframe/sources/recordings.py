@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,38 @@ def read_recordings(spark: SparkSession, path: str, fmt: str = "parquet", schema
     )
 
 
+def list_recordings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """(participant, filename, length) of every file below ``path/P<n>``, also of those that hold no sample.
+
+    Only the listing is read, no file's content.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{fmt}")
+    parts = F.split(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/")
+    return found.load(path).select(
+        F.element_at(parts, -2).alias("participant"),
+        F.regexp_replace(F.element_at(parts, -1), rf"\.{fmt}$", "").alias("filename"),
+        "length",
+    )
+
+
+def recording_states(listing: DataFrame, samples: DataFrame, skip: Sequence[int] = ()) -> DataFrame:
+    """(participant, filename, samples, TRIAL) of every recording of an activity that is listed or has samples.
+
+    An empty recording has 0 samples and no TRIAL, so it takes no number from the others. ``listing`` may name a
+    file in several rows. Samples are counted before they are shuffled; what is joined is one row per file.
+    """
+    counts = samples.groupBy(*FILE_KEY).agg(F.count("*").alias("samples"))
+    files = materialise(listing.select(*FILE_KEY).distinct().join(counts, FILE_KEY, "full"))
+    known = trial_files(files, skip)
+    full = known.where("samples is not null")
+    order = [F.col("participant_no"), F.col("participant"), F.col("filename")]
+    numbered = sorted_index(full.select(*FILE_KEY, "participant_no"), order, "_index")
+    numbers = numbered.select(*FILE_KEY, F.col("_index").cast("int").alias(TRIAL))
+    return known.join(numbers, FILE_KEY, "left").select(
+        *FILE_KEY, F.coalesce("samples", F.lit(0)).cast("long").alias("samples"), TRIAL
+    )
+
+
 def participants(files: DataFrame, skip: Sequence[int] = ()) -> DataFrame:
     """Participants ``P<n>`` in numeric order, without the skipped ones.
 
@@ -174,13 +207,28 @@ def first_trial_channels(channels: DataFrame) -> list[str]:
     return sorted(r["name"] for r in channels.filter(F.col(TRIAL) == first).select("name").collect())
 
 
-def check_channels(trials: DataFrame, channels: DataFrame, wanted: Sequence[str]) -> None:
+def channel_differences(trials: DataFrame, channels: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """(TRIAL, channel, difference): channels of ``wanted`` that a trial lacks are ``missing``, others it has are ``extra``.
+
+    ``channels`` are (TRIAL, name). A trial's names form one set (as many as a recording has labels), and the two
+    set differences are taken in its row; a trial without any channel lacks all.
+    """
+    held = channels.groupBy(TRIAL).agg(F.collect_set("name").alias("_held"))
+    none = F.array().cast("array<string>")
+    expected = F.array(*[F.lit(c) for c in wanted]) if wanted else none
+    sets = trials.select(TRIAL).join(held, TRIAL, "left").withColumn("_held", F.coalesce("_held", none))
+    lacking = F.transform(F.array_except(expected, "_held"), lambda c: F.struct(c.alias("c"), F.lit("missing").alias("d")))
+    besides = F.transform(F.array_except("_held", expected), lambda c: F.struct(c.alias("c"), F.lit("extra").alias("d")))
+    found = sets.select(TRIAL, F.explode(F.concat(lacking, besides)).alias("_x"))
+    return found.select(TRIAL, F.col("_x.c").alias("channel"), F.col("_x.d").alias("difference"))
+
+
+def check_channels(differences: DataFrame) -> None:
     """Raise ``ValueError`` where a trial lacks a wanted channel; extra channels are dropped later."""
-    held = channels.filter(F.col("name").isin(list(wanted))).groupBy(TRIAL).agg(F.count("*").alias("_n"))
-    counted = trials.select(TRIAL).join(held, TRIAL, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    short = counted.filter(F.col("_n") < len(wanted)).orderBy(TRIAL).take(5)
+    short = differences.filter("difference = 'missing'").orderBy(TRIAL, "channel").take(5)
     if short:
-        raise ValueError(f"trials {[r[TRIAL] for r in short]} lack some of the channels {list(wanted)}")
+        trials = sorted({r[TRIAL] for r in short})
+        raise ValueError(f"trials {trials} lack some of the channels, for example {[r['channel'] for r in short]}")
 
 
 def widen(samples: DataFrame, channels: Sequence[str], compat_time: bool = False) -> DataFrame:
@@ -200,7 +248,18 @@ def widen(samples: DataFrame, channels: Sequence[str], compat_time: bool = False
     return wide.select(TRIAL, time.alias(TIME), *[col(c) for c in channels])
 
 
-def ingest_trials(
+@dataclass
+class Ingest:
+    """What an ingest gives: a row per trial (participant, filename, TRIAL, labels), the columns of the table, how trials'
+    channels differ from them, and the interim table."""
+
+    trials: DataFrame
+    columns: list[str]
+    differences: DataFrame
+    table: DataFrame
+
+
+def ingest_parts(
     samples: DataFrame,
     skip_participants: Sequence[int] = (),
     missing_locations: Mapping[int, str] | None = None,
@@ -209,21 +268,17 @@ def ingest_trials(
     dimensions: Sequence[str] = DIMENSIONS,
     channels: Sequence[str] | None = None,
     compat_time: bool = False,
-) -> DataFrame:
-    """Interim table of decoded samples ``(participant, filename, frame, label, value, rate)``.
-
-    Columns: TRIAL, TIME, one per channel (those of the first trial unless given), ACTIVITY,
-    INCLINE, SPEED. Later trials are laid on those columns: extra ones are dropped, a missing one
-    is an error.
+    first_trial: int = 0,
+    strict: bool = True,
+) -> Ingest:
+    """Ingest of decoded samples with its side tables; see ``ingest_trials``. TRIAL counts from ``first_trial``.
 
-    Two passes: the first reads only the distinct (participant, filename, label) and settles trial
-    numbers, channel names and columns on that small table; the second reads the samples, looks up
-    two numbers per sample and shuffles once by (TRIAL, frame).
+    Where ``strict`` is off a trial that lacks channels is no error: it keeps NULLs there and ``differences`` names them.
     """
     contents = materialise(samples.select(*FILE_KEY, "label").distinct())
     _participants(contents.select("participant").distinct(), skip_participants)
     numbered = _number_trials(contents.select(*FILE_KEY).distinct(), skip_participants)
-    trials = materialise(with_labels(numbered))
+    trials = materialise(with_labels(numbered.withColumn(TRIAL, F.col(TRIAL) + F.lit(first_trial))))
     pairs = contents.select(*PAIR).distinct()
     names = materialise(label_names(pairs, missing_locations, measures, locations, dimensions))
     size = serialised_bytes(trials)
@@ -231,7 +286,9 @@ def ingest_trials(
     known = lookup_join(known, trials.select(*FILE_KEY, TRIAL), FILE_KEY, [F.col("label")], "inner", size=size)
     held = materialise(known.select(TRIAL, "name").distinct())
     columns = list(channels) if channels is not None else first_trial_channels(held)
-    check_channels(trials, held, columns)
+    differences = channel_differences(trials, held, columns)
+    if strict:
+        check_channels(differences)
 
     # As many rows as the table has columns.
     places = samples.sparkSession.createDataFrame([(c, i) for i, c in enumerate(columns)], "name string, _i int")
@@ -241,7 +298,33 @@ def ingest_trials(
     wanted = lookup_join(wanted, trials.select(*FILE_KEY, TRIAL), FILE_KEY, spread, "inner", size=size)
     wide = widen(wanted, columns, compat_time)
     trial_labels = trials.select(TRIAL, ACTIVITY, INCLINE, SPEED)
-    return lookup_join(wide, trial_labels, [TRIAL], [F.col(TIME)], "inner", size=size)
+    table = lookup_join(wide, trial_labels, [TRIAL], [F.col(TIME)], "inner", size=size)
+    return Ingest(trials, columns, differences, table)
+
+
+def ingest_trials(
+    samples: DataFrame,
+    skip_participants: Sequence[int] = (),
+    missing_locations: Mapping[int, str] | None = None,
+    measures: Sequence[str] = MEASURES,
+    locations: Sequence[str] = LOCATIONS,
+    dimensions: Sequence[str] = DIMENSIONS,
+    channels: Sequence[str] | None = None,
+    compat_time: bool = False,
+) -> DataFrame:
+    """Interim table of decoded samples ``(participant, filename, frame, label, value, rate)``.
+
+    Columns: TRIAL, TIME, one per channel (those of the first trial unless given), ACTIVITY,
+    INCLINE, SPEED. Later trials are laid on those columns: extra ones are dropped
+    (``ingest_parts`` names them), a missing one is an error.
+
+    Two passes: the first reads only the distinct (participant, filename, label) and settles trial
+    numbers, channel names and columns on that small table; the second reads the samples, looks up
+    two numbers per sample and shuffles once by (TRIAL, frame).
+    """
+    return ingest_parts(
+        samples, skip_participants, missing_locations, measures, locations, dimensions, channels, compat_time
+    ).table
 
 
 def process_recordings(samples: DataFrame, output_path: str, **options) -> None:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strideframe.storage import is_committed
+
 LEDGER_SCHEMA = "val_data string, run_id string, feature string, score double, plot_path string, rmse double"
 
 
@@ -94,5 +96,22 @@ def append_ledger(row: DataFrame, path: str) -> DataFrame:
     return read_ledger(row.sparkSession, path)
 
 
+def record_once(row: DataFrame, path: str, key: Sequence[str] = ("run_id", "val_data", "feature")) -> DataFrame:
+    """Add a result row under its key, once: a retried or repeated append changes nothing. Returns the whole ledger.
+
+    Each key has a folder, named by its digest. An append that was cut off left no marker there (and nothing readers see)
+    and is written again; one that ended left the marker and is not.
+    """
+    spark = row.sparkSession
+    digest = F.sha2(F.to_json(F.array(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])), 256)
+    (entry,) = [r[0] for r in row.select(digest).collect()]
+    folder = f"{path.rstrip('/')}/entry={entry}"
+    if not is_committed(spark, folder):
+        row.coalesce(1).write.mode("overwrite").option("header", "true").csv(folder)
+    return read_ledger(spark, path)
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LEDGER_SCHEMA).option("header", "true").csv(path)
+    """All rows, whether appended or recorded once."""
+    rows = spark.read.schema(LEDGER_SCHEMA).option("header", "true").option("recursiveFileLookup", "true")
+    return rows.csv(path)

@@ -49,6 +49,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/strideframe/{name}-{uuid.uuid4().hex}"
 
 
+def is_committed(spark: SparkSession, path: str) -> bool:
+    """Whether a job that wrote to ``path`` came to its end: its last act is the marker ``_SUCCESS``."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
+def committed_below(spark: SparkSession, path: str) -> list[str]:
+    """Folders directly below ``path`` whose jobs came to their end, by name."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = [s.getPath().toString() for s in files.listStatus(folder) if s.isDirectory()]
+    return sorted(f for f in found if is_committed(spark, f))
+
+
 def serialised_bytes(df: DataFrame) -> int:
     """Measured size of a table: one aggregate over its rows."""
     row_size = F.octet_length(F.to_json(F.struct("*"))) + F.lit(16)
