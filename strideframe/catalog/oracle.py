@@ -194,11 +194,10 @@ STRATUM = """coalesce("ACTIVITY", '') || '_' || coalesce(CAST("SPEED" AS VARCHAR
   || coalesce(CAST("INCLINE" AS VARCHAR), '')"""
 
 
-def _split(key: str, train_size: str, gap: int) -> str:
+def _parted(source: str, key: str, train_size: str, gap: int, ties: str = "") -> str:
     """Position in the stratum; the trial at position k; the first later position of another trial."""
-    return f"""{LABELLED},
-keyed AS (SELECT *, {key} AS k FROM labelled WHERE ({key}) IS NOT NULL),
-placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY "TRIAL", "TIME", event_id) - 1 AS pos,
+    return f"""keyed AS (SELECT *, {key} AS k FROM {source} WHERE ({key}) IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY "TRIAL", "TIME"{ties}) - 1 AS pos,
                   count(*) OVER (PARTITION BY k) AS n FROM keyed),
 at_k AS (SELECT k, n, CAST(floor({train_size}::DOUBLE * n) AS BIGINT) AS start,
                 max("TRIAL") FILTER (WHERE pos = CAST(floor({train_size}::DOUBLE * n) AS BIGINT)) AS t
@@ -209,6 +208,10 @@ parted AS (SELECT p.*, CASE WHEN pos < cut THEN 'train' WHEN pos >= cut + {gap}
            FROM placed p JOIN moved m ON p.k = m.k)"""
 
 
+def _split(key: str, train_size: str, gap: int) -> str:
+    return f"{LABELLED},\n{_parted('labelled', key, train_size, gap, ', event_id')}"
+
+
 SPLIT = f"""WITH {_split('"ACTIVITY"', "0.8", 5)}
 SELECT "TRIAL", "TIME", event_id, "ACTIVITY", value, part FROM parted"""
 
@@ -252,6 +255,60 @@ SELECT event_id, part, round((value - mv) / CASE WHEN sv = 0 THEN 1 ELSE sv END,
 FROM hours, fitted"""
 
 
+# --- least squares ------------------------------------------------------------------------------
+
+FEATURES = f"""{INTERIM}, {LAST_LABELS},
+rolled AS (SELECT "TRIAL", "TIME", min(a) OVER w AS x1, max(a) OVER w AS x2, min(g) OVER w AS x3, max(g) OVER w AS x4
+           FROM interim WINDOW w AS (PARTITION BY "TRIAL" ORDER BY "TIME" RANGE BETWEEN 9 PRECEDING AND CURRENT ROW)),
+features AS (SELECT r.*, k."ACTIVITY", k."SPEED", k."INCLINE" FROM rolled r JOIN last_rows k ON r."TRIAL" = k."TRIAL"
+             WHERE r."TIME" > 8)"""
+
+
+def _least_squares(target: str, name: str) -> str:
+    """Errors of the linear model of ``target``: one column after the other is taken out of those behind it and of the
+    target, by slopes of the train rows (Gram and Schmidt). What is left of the target is the error."""
+    xs = [f"x{i}" for i in range(1, 5)]
+    steps = [
+        f"""{name}_rows AS (SELECT part, CAST("{target}" AS DOUBLE) AS y, {", ".join(xs)} FROM parted
+  WHERE part <> 'gap' AND "{target}" IS NOT NULL)""",
+        f"""{name}_m AS (SELECT avg(y) AS my, {", ".join(f"avg({x}) AS m{x}" for x in xs)} FROM {name}_rows WHERE part = 'train')""",
+        f"""{name}_0 AS (SELECT part, y AS t, y - my AS y, {", ".join(f"{x} - m{x} AS {x}" for x in xs)} FROM {name}_rows, {name}_m)""",
+    ]
+    for i, x in enumerate(xs, start=1):
+        rest = [*xs[i:], "y"]
+        slopes = ", ".join(f"sum({x} * {r}) / sum({x} * {x}) AS slope_{r}" for r in rest)
+        left = ", ".join(f"{r} - slope_{r} * {x} AS {r}" for r in rest)
+        steps.append(f"{name}_b{i} AS (SELECT {slopes} FROM {name}_{i - 1} WHERE part = 'train')")
+        steps.append(f"{name}_{i} AS (SELECT part, t, {left} FROM {name}_{i - 1}, {name}_b{i})")
+    steps.append(f"""{name}_scores AS (
+  SELECT count(*) AS n, 1 - sum(y * y) / (var_pop(t) * count(*)) AS r2, sqrt(avg(y * y)) AS rmse, avg(abs(y)) AS mae
+  FROM {name}_{len(xs)} WHERE part = 'test')""")
+    return ",\n".join(steps)
+
+
+def _scores_of(name: str, first: str = "") -> str:
+    return f"SELECT {first}n, round(r2, 6) AS r2, round(rmse, 6) AS rmse, round(mae, 6) AS mae FROM {name}_scores"
+
+
+SPEED_REGRESSOR = f"""WITH {FEATURES},
+{_parted("features", '"ACTIVITY"', "0.8", 5)},
+{_least_squares("SPEED", "speed")}
+{_scores_of("speed")}"""
+
+REGRESSOR_RUN = f"""WITH {FEATURES},
+{_parted("features", STRATUM, "0.8", 10)},
+{_least_squares("SPEED", "speed")},
+{_least_squares("INCLINE", "incline")}
+{_scores_of("speed", "'SPEED' AS target, ")}
+UNION ALL {_scores_of("incline", "'INCLINE' AS target, ")}"""
+
+APPLY_MODEL = f"""WITH {FEATURES},
+{_parted("features", '"ACTIVITY"', "0.8", 5)},
+{_least_squares("SPEED", "speed")}
+SELECT 'features' AS val_data, 'run_lr' AS run_id, 'SPEED' AS feature, round(r2, 6) AS score, CAST(NULL AS VARCHAR) AS plot_path,
+       round(rmse, 6) AS rmse FROM speed_scores"""
+
+
 # --- ingest -----------------------------------------------------------------------------------
 
 PARTICIPANTS = f"""WITH {FILES}
@@ -457,4 +514,7 @@ ORACLE: dict[str, str] = {
     "run_components": RUN_COMPONENTS,
     "validation_ledger": LEDGER,
     "ledger_retry": LEDGER,
+    "speed_regressor": SPEED_REGRESSOR,
+    "regressor_run": REGRESSOR_RUN,
+    "apply_model": APPLY_MODEL,
 }

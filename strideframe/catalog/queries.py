@@ -347,11 +347,24 @@ def speed_regressor(family: str) -> Callable[[SparkSession, str], DataFrame]:
         scaler = fit_scaler(train, training.feature_columns(train)) if family == "LR" else None
         model = training.fit_regressor(train, family, SPEED, scaler=scaler)
         test = training.with_target(_part(parted, TEST), SPEED)
-        return metrics.regression_scores(model.transform(test), SPEED, training.PREDICTION)
+        return rounded(metrics.regression_scores(model.transform(test), SPEED, training.PREDICTION))
 
     return query
 
 
+def regressor_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both regressors of a linear run, on parts cut by all three labels."""
+    parted = sequential_split(model_features(spark, sf_dir), 0.8, PERIOD, [ACTIVITY, SPEED, INCLINE])
+    parted = write_features(parted, scratch_path(spark, "parts"))
+    scaler = fit_scaler(_part(parted, TRAIN), training.feature_columns(parted))
+    runs = [
+        metrics.regression_scores(training.regressor_run(parted, "LR", target, {}, scaler)[1], target, training.PREDICTION)
+        .select(F.lit(target).alias("target"), "*")
+        for target in (SPEED, INCLINE)
+    ]
+    return rounded(runs[0].unionByName(runs[1]))
+
+
 def feature_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = _part(model_parts(spark, sf_dir), TRAIN)
     return training.feature_importances(train, training.fit_regressor(train, "RF", INCLINE))
@@ -362,12 +375,23 @@ def multipredictor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def apply_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A saved regressor loaded and scored on the whole feature table."""
-    features = model_features(spark, sf_dir)
-    scaler = fit_scaler(features, training.feature_columns(features))
-    path = f"{scratch_path(spark, 'models')}/speed"
-    training.fit_regressor(features, "LR", SPEED, scaler=scaler).write().save(path)
-    return scoring.apply_model(features, SPEED, path, f"{sf_dir}/features.parquet")["result"]
+    """A regressor fitted on the train part, saved, loaded and scored on the test part."""
+    parted = model_parts(spark, sf_dir)
+    train = _part(parted, TRAIN)
+    scaler = fit_scaler(train, training.feature_columns(train))
+    path = f"{scratch_path(spark, 'models')}/run_lr/speed"
+    training.fit_regressor(train, "LR", SPEED, scaler=scaler).write().save(path)
+    return rounded(scoring.apply_model(_part(parted, TEST), SPEED, path, f"{sf_dir}/features.parquet")["result"])
+
+
+def apply_model_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A classifier fitted on the train part, saved, loaded and applied to the test part: its confusion matrix."""
+    parted = model_parts(spark, sf_dir)
+    train = _part(parted, TRAIN)
+    scaler = fit_scaler(train, training.feature_columns(train))
+    path = f"{scratch_path(spark, 'models')}/run_lr/activity"
+    training.fit_classifier(train, "LR", scaler=scaler).write().save(path)
+    return scoring.apply_model(_part(parted, TEST), ACTIVITY, path, f"{sf_dir}/features.parquet")["confusion"]
 
 
 def mlp_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,7 +475,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "speed_regressor_boosted": speed_regressor("LGBM"),
     "feature_importances": feature_importances,
     "multipredictor": multipredictor,
+    "regressor_run": regressor_run,
     "apply_model": apply_model,
+    "apply_model_activity": apply_model_activity,
     "mlp_classifier": mlp_classifier,
     "mlp_grid_search": mlp_grid_search,
     "network_run": network_run,
