@@ -49,8 +49,7 @@ COUNT_BYTES = 32
 _SINGLE_BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _FIRM = frozenset(map(chr, range(0x21, 0x7F)))
 
-#: What a text must hold for any of its cuts to lack a firm character.
-_LOOSE = re.compile(r"[^!-~\w \n]|[ \n][ \n]|^[ \n]|[ \n]\Z")
+_NOT_FIRM = re.compile(r"[^!-~\w \n]")
 
 _loaded: dict[tuple[str, str], "Aligner"] = {}
 
@@ -108,6 +107,24 @@ class Aligner:
         self.numbers = np.zeros((0, 3), np.int64)  # tokens of A, tokens of B, groups
         self.ends = np.zeros(1, np.int64)  # of each slot's pairs
         self.pairs, self.links = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def thin(self) -> None:
+        """Parts that were used most stay, at most half of ``KEPT_PARTS`` and none used once only."""
+        least = 2
+        if len(self.uses) > KEPT_PARTS // 2:
+            least = max(least, 1 + int(np.partition(self.uses, -(KEPT_PARTS // 2))[-(KEPT_PARTS // 2)]))
+        kept = sorted((i, part) for part, i in self.slots.items() if self.uses[i] >= least)
+        at = np.array([i for i, _ in kept], np.int64)
+        texts, numbers, uses = [self.texts[i] for i in at.tolist()], self.numbers[at], self.uses[at] // 2
+        sizes = self.ends[at + 1] - self.ends[at]
+        rows = np.arange(sizes.sum()) + np.repeat(self.ends[at] - np.cumsum(sizes) + sizes, sizes)
+        pairs, links = self.pairs[rows], self.links[rows]
+        self.slots = {part: i for i, (_, part) in enumerate(kept)}
+        self.texts, self.numbers, self.uses, self.pairs, self.links = texts, numbers, uses, pairs, links
+        self.ends = np.r_[0, np.cumsum(sizes)]
+        if len(self.pairs) > 8 * KEPT_PARTS:
+            self.forget()
 
     def parts(self, text: str) -> list[str]:
         """Parts of a space and the text. Each begins with a space or a line feed, and is joined to the one before
@@ -119,7 +136,7 @@ class Aligner:
             first, *rest = line.split(" ")
             parts.append(("\n" if i else " ") + first)
             parts += [" " + w for w in rest]
-        if not _LOOSE.search(text):
+        if _is_tight(text):
             return parts
         cuts, before = [0], False
         for i, part in enumerate(parts):
@@ -133,7 +150,7 @@ class Aligner:
     def slots_of(self, texts: list[str]) -> list[np.ndarray]:
         """The slots of each text's parts, new ones aligned first."""
         if len(self.texts) > KEPT_PARTS or len(self.pairs) > 16 * KEPT_PARTS:
-            self.forget()
+            self.thin()
         split = [self.parts(t) for t in texts]
         new = {p for parts in split for p in parts} - self.slots.keys()
         # parts that are firm at both ends are encoded as one text
@@ -145,7 +162,11 @@ class Aligner:
             found += self.aligned([part])
         self.keep(found)
         get = self.slots.__getitem__
-        return [np.fromiter(map(get, parts), np.int64, len(parts)) for parts in split]
+        slots = [np.fromiter(map(get, parts), np.int64, len(parts)) for parts in split]
+        used = np.bincount(np.concatenate([np.zeros(0, np.int64), *slots]), minlength=len(self.texts))
+        used[: len(self.uses)] += self.uses
+        self.uses = used
+        return slots
 
     def keep(self, found: list[Alignment]) -> None:
         for one in found:
@@ -248,6 +269,12 @@ def _is_firm(character: str) -> bool:
     return character in _FIRM or character.isalnum()
 
 
+def _is_tight(text: str) -> bool:
+    """Whether firm characters stand on both sides of every space and line feed: no cut needs a look."""
+    doubled = any(gap in text for gap in ("  ", " \n", "\n ", "\n\n"))
+    return not doubled and text[0] not in " \n" and text[-1] not in " \n" and not _NOT_FIRM.search(text)
+
+
 def _piece_bytes(name: str) -> bytes:
     byte = _SINGLE_BYTE.fullmatch(name)
     return bytes([int(byte[1], 16)]) if byte else name.replace(MARK, " ").encode()
