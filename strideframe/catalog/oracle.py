@@ -296,7 +296,7 @@ SPEED_REGRESSOR = f"""WITH {FEATURES},
 {_scores_of("speed")}"""
 
 REGRESSOR_RUN = f"""WITH {FEATURES},
-{_parted("features", STRATUM, "0.8", 10)},
+{_parted("features", STRATUM, "0.8", 0)},
 {_least_squares("SPEED", "speed")},
 {_least_squares("INCLINE", "incline")}
 {_scores_of("speed", "'SPEED' AS target, ")}

@@ -354,7 +354,7 @@ def speed_regressor(family: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def regressor_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both regressors of a linear run, on parts cut by all three labels."""
-    parted = sequential_split(model_features(spark, sf_dir), 0.8, PERIOD, [ACTIVITY, SPEED, INCLINE])
+    parted = sequential_split(model_features(spark, sf_dir), 0.8, 0, [ACTIVITY, SPEED, INCLINE])
     parted = write_features(parted, scratch_path(spark, "parts"))
     scaler = fit_scaler(_part(parted, TRAIN), training.feature_columns(parted))
     runs = [
