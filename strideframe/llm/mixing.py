@@ -82,7 +82,8 @@ def permutation(block: Column, source: Column, turn: Column, seed: int) -> Colum
 
 
 def _rows(docs: DataFrame, record_id: str, source: str, text: str, seed: int, kept: list[str]) -> DataFrame:
-    hashed = F.xxhash64(F.col(f"`{record_id}`"), F.lit(seed))
+    # the text tells rows without an id, or with one id, apart
+    hashed = F.xxhash64(F.col(f"`{record_id}`"), F.col(f"`{text}`"), F.lit(seed))
     words = F.array_remove(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), SPACES), "")
     columns = [
         F.col(f"`{record_id}`").alias("_id"),

@@ -181,6 +181,17 @@ def test_mixing(spark, odd, nothing):
     assert tree.sum(0).tolist() == [10, 0, 33] and np.ptp(tree.sum(1)) <= 1
 
 
+def test_mixing_meets_targets_without_ids(spark):
+    """Rows without an id, or with the same one, are taken one by one, so sources come within a document of their targets."""
+    rows = [(None if i % 3 else 7, " ".join(["w"] * (1 + i * 37 % 60)) + f" {i}", "en", f"s{i % 2}", 1, "r", 1) for i in range(900)]
+    taken, target, longest = collections.Counter(), {}, 0
+    for r in mixing.planned_draws(spark.createDataFrame(rows, SCHEMA)).collect():
+        taken[r._source] += r._size * len(r.draws)
+        target[r._source] = r.target
+        longest = max(longest, r._size)
+    assert len(target) == 2 and all(abs(taken[s] - target[s]) <= longest for s in target), (taken, target)
+
+
 def test_top_k(spark):
     random = np.random.default_rng(1)
     data = [[float(x) for x in random.normal(size=4)] for _ in range(300)]
