@@ -207,6 +207,29 @@ def test_top_k(spark):
     assert topk.top_k(vectors.where("false"), F.lit(True), 5).count() == 0
 
 
+def test_top_k_many_leaves(spark, monkeypatch):
+    """Small blocks and groups, a hot vector, vectors of three lengths (one outside the sample), huge components."""
+    for name, value in (("BLOCK_ROWS", 40), ("GROUP_ROWS", 5), ("LEAF", 8), ("SAMPLE_ROWS", 120)):
+        monkeypatch.setattr(topk, name, value)
+    random = np.random.default_rng(2)
+    data = {i: [float(x) for x in random.normal(i % 9, 0.2, size=5)] for i in range(600)}
+    data |= {i: [1.0] * 5 for i in range(200, 400)} | {i: [float(i), 2.0] for i in range(600, 650)}
+    data |= {i: [1e15 * (i - 650), -3.0, 1.0, float(i)] for i in range(650, 665)} | {i: [] for i in range(665, 668)}
+    vectors = spark.createDataFrame(list(data.items()), "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(vectors, F.col("vec_id") % 10 == 0, 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    whole = {i: [int(np.floor(256 * np.float64(x))) for x in v] for i, v in data.items()}
+    limit = lambda x: max(-(2**63), min(2**63 - 1, x))
+    for q in (i for i in whole if i % 10 == 0):
+        alike = [(limit(sum(a * b for a, b in zip(whole[q], v, strict=True))), i) for i, v in whole.items() if i != q and len(v) == len(whole[q])]
+        best = sorted(alike, key=lambda x: (-x[0], x[1]))[:5]
+        found = sorted(got.get(q, []))
+        assert [s for _, _, s in found] == [s for s, _ in best], q
+        if all(abs(s) < 2**63 - 1 for s, _ in best):
+            assert [i for _, i, _ in found] == [i for _, i in best], q
+
+
 def test_toxicity(spark, sf_dir, nothing):
     from strideframe.llm import toxicity
 
