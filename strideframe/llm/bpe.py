@@ -410,9 +410,25 @@ def bpe_codec(path: str) -> tuple[Callable[[Column], Column], Callable[[Column],
     return encode, decode
 
 
+def round_trip(path: str) -> Callable[[Column], Column]:
+    """A column function: a text to a struct of ``ids`` and ``decoded``, each text encoded once."""
+    with open(path, "rb") as f:
+        spec = f.read()
+
+    @F.pandas_udf("ids binary, decoded string")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        bpe = codec(spec)
+        ids = bpe.encode_all([t or "" for t in texts])
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(map(bpe.decode, ids), dtype=object)})
+
+    return both
+
+
 def with_round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (binary, 4 bytes each), ``n_tokens`` and ``decoded``; such columns are replaced.
-    Rows are not shuffled."""
-    encode, decode = bpe_codec(path)
-    out = docs.withColumn("ids", encode(F.col(f"`{text}`")))
-    return out.withColumns({"n_tokens": (F.octet_length("ids") / 4).cast("long"), "decoded": decode("ids")})
+    Rows are not shuffled. Both come from one function: a decoder over an encoder would have every text encoded
+    twice, once for the ids and once for what is decoded."""
+    both = round_trip(path)(F.col(f"`{text}`"))
+    return docs.withColumns(
+        {"ids": both["ids"], "n_tokens": (F.octet_length(both["ids"]) / 4).cast("long"), "decoded": both["decoded"]}
+    )
