@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from strideframe.llm.components import components
 from strideframe.llm.stored import stored
+from strideframe.storage import passing_tables
 
 WORDS = 5
 
@@ -319,7 +320,7 @@ def family_links(family: DataFrame, rows: DataFrame, percent: int) -> tuple[Data
     lists = lists.select(
         F.struct("a", "f.d", "f.lack").alias("shingle"), F.col("b").alias("id"), "n", "w", "behind"
     )
-    return sure, stored(lists, "family-lists")
+    return sure, stored(lists, "family-lists", kept=True)
 
 
 def family_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -390,8 +391,9 @@ def jaccard_classes(
     lists = stored(dealt.join(shared, "shingle"), "lists")
     first = stored(star_pairs(lists, percent), "stars")
     family = stored(families(first), "families")
-    sure, differences = family_links(family, rows, percent)
-    links = stored(linked(first, rows, percent).union(sure), "links")
+    with passing_tables(docs.sparkSession):
+        sure, differences = family_links(family, rows, percent)
+        links = stored(linked(first, rows, percent).union(sure), "links", kept=True)
     found = components(links)
     family = family.select(F.col("b").alias("id"), F.col("a").alias("family"))
     current = _with_component(lists, found).join(family, "id", "left")
@@ -430,7 +432,8 @@ def _by_id(sets: DataFrame, members: DataFrame) -> DataFrame:
 def one_per_component(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Of each component the document with its id, all columns as they were; rows without an id stay. Of rows that share
     the id the one with the longest text stays."""
-    classes = stored(jaccard_classes(docs, percent), "classes")
+    with passing_tables(docs.sparkSession):
+        classes = stored(jaccard_classes(docs, percent), "classes", kept=True)
     out = _among(docs, classes.where("doc_id <> component_id").select("doc_id").distinct(), "left_anti")
     ids = classes.where("doc_id is not null and doc_id = component_id").select("doc_id")
     repeated = ids.groupBy("doc_id").count().where("count > 1").select("doc_id")

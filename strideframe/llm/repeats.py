@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from strideframe.llm.stored import stored
 from strideframe.llm.suffixes import permuted_prefixes, suffix_array
-from strideframe.storage import materialise
+from strideframe.storage import materialise, passing_tables
 
 LENGTH = 100
 GRAM = 32
@@ -256,6 +256,11 @@ def _told_apart(rows: DataFrame, several: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, record_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(copies, spans): ``copies`` (key, digest) are documents that go as a whole, since their text stands earlier;
     ``spans`` (key, digest, spans) has the other documents' repeated stretches, in no order and overlapping."""
+    with passing_tables(docs.sparkSession):
+        return _repeated_spans(docs, record_id, text)
+
+
+def _repeated_spans(docs: DataFrame, record_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     rows = _keyed(docs, record_id, text)
     digest = F.md5("data")
     base = materialise(rows.select("key", digest.alias("digest"), (F.octet_length("data") >= LENGTH).alias("long")))
@@ -265,7 +270,7 @@ def repeated_spans(docs: DataFrame, record_id: str = "doc_id", text: str = "text
     counted = materialise(base.where("long").groupBy("key", "digest").agg(F.count("*").alias("k")))
     base = counted.select("key", "digest")
     oldest = base.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = stored(base.join(oldest, "digest").where("key <> first").select("key", "digest"), "copies")
+    copies = stored(base.join(oldest, "digest").where("key <> first").select("key", "digest"), "copies", kept=True)
     whole = rows.where(F.octet_length("data") >= LENGTH)
     if not copies.isEmpty():
         small = copies.count() <= BROADCAST_IDS
@@ -281,11 +286,12 @@ def repeated_spans(docs: DataFrame, record_id: str = "doc_id", text: str = "text
 
     runs = anchors(whole)
     often = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    met = stored(runs.join(often, "anchor"), "runs")
-    per_document = met.groupBy("key", "twin").agg(F.collect_list(F.struct("anchor", "at", "run")).alias("runs"))
-    ids = materialise(met.select("key").distinct())
-    cut = _among(whole, ids, "left_semi").join(per_document, ["key", "twin"]).select("key", "twin", "data", "runs")
-    occurrences = stored(segments(cut), "segments")
+    with passing_tables(docs.sparkSession):
+        met = stored(runs.join(often, "anchor"), "runs")
+        per_document = met.groupBy("key", "twin").agg(F.collect_list(F.struct("anchor", "at", "run")).alias("runs"))
+        ids = materialise(met.select("key").distinct())
+        cut = _among(whole, ids, "left_semi").join(per_document, ["key", "twin"]).select("key", "twin", "data", "runs")
+        occurrences = stored(segments(cut), "segments", kept=True)
 
     same = ["anchor", "d1", "d2"]
     oldest = occurrences.groupBy(*same).agg(F.min(F.struct("key", "at", "twin", "segment")).alias("o"))
@@ -310,7 +316,7 @@ def repeated_spans(docs: DataFrame, record_id: str = "doc_id", text: str = "text
         spans = spans.union(rest.select("key", "twin", "at", (F.col("at") + LENGTH).alias("end")))
     spans = stored(spans.groupBy("key", "twin").agg(F.collect_list(F.struct("at", "end")).alias("spans")), "spans")
     alone = spans.where("twin = ''").join(base, "key").select("key", "digest", "spans")
-    return copies, stored(alone.union(spans.where("twin <> ''").select("key", "twin", "spans")), "spans")
+    return copies, stored(alone.union(spans.where("twin <> ''").select("key", "twin", "spans")), "spans", kept=True)
 
 
 def removed(size: int, spans: list) -> np.ndarray:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +47,33 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for a table a job writes and reads back."""
-    return f"{shared_dir(spark).rstrip('/')}/strideframe/{name}-{uuid.uuid4().hex}"
+#: Paths given out inside the open ``passing_tables`` blocks, the innermost last.
+_passing: ContextVar[tuple[list[str], ...]] = ContextVar("_passing", default=())
+
+
+def scratch_path(spark: SparkSession, name: str, kept: bool = False) -> str:
+    """A fresh path below the shared folder for a table a job writes and reads back. With ``kept`` it outlives the
+    innermost block of ``passing_tables``."""
+    path = f"{shared_dir(spark).rstrip('/')}/strideframe/{name}-{uuid.uuid4().hex}"
+    blocks = _passing.get()[:-1] if kept else _passing.get()
+    if blocks:
+        blocks[-1].append(path)
+    return path
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables whose paths are given out inside go at the end, but for those that are ``kept``: what is used
+    afterwards must read those alone."""
+    paths: list[str] = []
+    token = _passing.set((*_passing.get(), paths))
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def is_committed(spark: SparkSession, path: str) -> bool:
