@@ -35,6 +35,7 @@ from strideframe.operators.scale import fit_scaler, scaler_stage
 from strideframe.operators.split import TEST, TRAIN, sequential_split, split_balance
 from strideframe.plans.hyperparameters import FAMILIES, HYPERPARAMETERS, boosting_params, forest_params
 from strideframe.sources.tables import run_record, write_importances, write_run
+from strideframe.storage import shared_dir
 
 SCALED = "_scaled "
 PREDICTION = "prediction"
@@ -106,6 +107,7 @@ def fit_classifier(
     stages = input_stages(features, scaler)
     indexed = indexer.transform(with_class_weights(train, label))
     prepared = prepare(indexed, stages, ["_label", "weight"]).persist()
+    shared_dir(train.sparkSession)  # forests checkpoint the rows' nodes there
     try:
         fitted = classifier_estimator(family, params, len(indexer.labels), prepared.count()).fit(prepared)
     finally:
@@ -143,6 +145,7 @@ def fit_regressor(
     features = list(features) if features is not None else feature_columns(train)
     stages = input_stages(features, scaler)
     prepared = prepare(with_target(train, target), stages, [target]).persist()
+    shared_dir(train.sparkSession)
     try:
         fitted = regressor_estimator(family, params, target).fit(prepared)
     finally:
