@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IndexToString
+from pyspark.ml.feature import IndexToString, StringIndexerModel
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,25 @@ from strideframe.plans.training import PREDICTION, encode_labels, feature_column
 from strideframe.sources.tables import run_record, write_run
 
 
+def mlp_inputs(train: DataFrame, features: Sequence[str], label: str) -> tuple[list[Transformer], StringIndexerModel, DataFrame]:
+    """(stages, classes, rows): scaling and assembly, and the standardised rows that any network of these features reads."""
+    stages = input_stages(features, fit_scaler(train, features))
+    indexer = encode_labels(train, label)
+    return stages, indexer, prepare(indexer.transform(train), stages, ["_label"])
+
+
+def fit_network(prepared: DataFrame, layers: Sequence[int], epochs: int) -> MultilayerPerceptronClassificationModel:
+    network = MultilayerPerceptronClassifier(
+        layers=list(layers),
+        maxIter=epochs,
+        seed=SEED,
+        featuresCol="_features",
+        labelCol="_label",
+        predictionCol="_prediction",
+    )
+    return network.fit(prepared)
+
+
 def fit_mlp(
     train: DataFrame,
     neurons1: int,
@@ -31,20 +50,10 @@ def fit_mlp(
 ) -> PipelineModel:
     """Standardised features through two hidden layers to one output per class."""
     features = list(features) if features is not None else feature_columns(train)
-    scaler = fit_scaler(train, features)
-    stages = input_stages(features, scaler)
-    indexer = encode_labels(train, label)
-    prepared = prepare(indexer.transform(train), stages, ["_label"]).persist()
-    network = MultilayerPerceptronClassifier(
-        layers=[len(features), neurons1, neurons2, len(indexer.labels)],
-        maxIter=epochs,
-        seed=SEED,
-        featuresCol="_features",
-        labelCol="_label",
-        predictionCol="_prediction",
-    )
+    stages, indexer, prepared = mlp_inputs(train, features, label)
+    prepared = prepared.persist()
     try:
-        fitted = network.fit(prepared)
+        fitted = fit_network(prepared, [len(features), neurons1, neurons2, len(indexer.labels)], epochs)
     finally:
         prepared.unpersist()
     names = IndexToString(inputCol="_prediction", outputCol=PREDICTION, labels=indexer.labels)
@@ -61,25 +70,34 @@ def mlp_grid_search(
 ) -> tuple[PipelineModel, DataFrame]:
     """Best model by log loss on the held-out part, and the loss of every setting.
 
-    The held-out part is given, because the sequential split must not be replaced by a random one.
+    The held-out part is given, because the sequential split must not be replaced by a random one. Both parts are scaled
+    and assembled once for all settings.
     """
     network = MultilayerPerceptronClassifier
     grid = ParamGridBuilder().addGrid(network.layers, [[a, b] for a in units1 for b in units2]).build()
-    indexer = encode_labels(train, label)
+    features = feature_columns(train)
+    stages, indexer, prepared = mlp_inputs(train, features, label)
     evaluator = MulticlassClassificationEvaluator(
         labelCol="_label", predictionCol="_prediction", probabilityCol="probability", metricName="logLoss"
     )
-    held_out = indexer.transform(held_out)
+    prepared = prepared.persist()
+    held_out = prepare(indexer.transform(held_out), stages, ["_label"]).persist()
     best, rows = None, []
-    for setting in grid:
-        neurons1, neurons2 = setting[network.layers]
-        model = fit_mlp(train, neurons1, neurons2, epochs, label=label)
-        loss = evaluator.evaluate(model.transform(held_out))
-        if best is None or loss < best[0]:
-            best = (loss, model)
-        rows.append((neurons1, neurons2, float(loss)))
+    try:
+        for setting in grid:
+            neurons1, neurons2 = setting[network.layers]
+            fitted = fit_network(prepared, [len(features), neurons1, neurons2, len(indexer.labels)], epochs)
+            loss = evaluator.evaluate(fitted.transform(held_out))
+            if best is None or loss < best[0]:
+                best = (loss, fitted)
+            rows.append((neurons1, neurons2, float(loss)))
+    finally:
+        prepared.unpersist()
+        held_out.unpersist()
+    names = IndexToString(inputCol="_prediction", outputCol=PREDICTION, labels=indexer.labels)
+    best_model = PipelineModel([*stages, best[1], names])
     losses = train.sparkSession.createDataFrame(rows, "units1 int, units2 int, val_loss double")
-    return best[1], losses.orderBy("val_loss", "units1", "units2")
+    return best_model, losses.orderBy("val_loss", "units1", "units2")
 
 
 def train_network(
