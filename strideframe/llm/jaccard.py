@@ -22,7 +22,12 @@ Documents that were compared with the same leader are not paired by their first
 from the leader. With L the leader's set, D what a document lacks of it and E what it has besides, the overlap of two
 documents is |L| - |D| - |D'| + |D and D'| + |E and E'|. So each has a weight, and two are linked if the common
 differences reach the sum of the weights: at a sum of zero or less always (then both are linked with the lightest
-document, which stands for these links), else only if they share one of their first, rarest differences.
+document, which stands for these links), else only if they share one of their first, rarest differences. How many
+come first depends on the pair: the heavier the two, the more differences they must share and the fewer are first. So a
+difference of a document has a reach, the largest weight of a partner for which it still is a first one, and two
+documents meet at a difference only if both reach the other's weight. What reaches nobody in a list leaves it before
+its documents are paired. Where lists still promise many more pairs than rows, each document is first
+compared with the lightest one of each of its lists, and what links joins a component, as with the leaders.
 """
 
 from __future__ import annotations
@@ -58,6 +63,9 @@ STAR_PERCENT = 3
 #: Documents with one leader from which they are compared by their differences; the result is the same either way.
 FAMILY = 16
 
+#: Pairs for each row of a family's lists from which documents are compared with the lightest of their lists first.
+HUB_PAIRS = 8
+
 #: Columns of 64 parities each: how often, even or odd, a set's hashes fall on each of 256 places. Sets differ in at
 #: least as many shingles as places.
 PARITIES = ["even1", "even2", "even3", "even4"]
@@ -240,12 +248,13 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """
     behind = F.greatest(*[F.ceil(F.lit(percent) * F.col(n) / 100) - 1 for n in ("n_a", "n_b")])
     needed = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    met = _met(lists, ["component", "family"], ["n"], _long_enough(percent) & _alike_enough(percent))
+    met = _met(lists, ["component", "family"], ["n"], PARITIES, _long_enough(percent) & _alike_enough(percent))
     return met.where(F.col("shared") + behind >= needed).drop("shared")
 
 
-def _met(lists: DataFrame, apart: list[str], carried: list[str], plausible: Column) -> DataFrame:
-    """(a, b, carried columns of both, shared): documents that differ in all columns of ``apart`` and share lists."""
+def _met(lists: DataFrame, apart: list[str], carried: list[str], tested: list[str], plausible: Column) -> DataFrame:
+    """(a, b, carried columns of both, shared): documents that differ in all columns of ``apart`` and share lists in which
+    they are ``plausible``, a test that may name ``tested`` columns, too."""
     bulks = []
     for name in apart:
         sizes = lists.groupBy("shingle", F.col(name).alias("value")).agg(F.count("*").alias("k"))
@@ -256,7 +265,7 @@ def _met(lists: DataFrame, apart: list[str], carried: list[str], plausible: Colu
     of_bulk = F.lit(False)
     for name in apart:
         of_bulk = of_bulk | ((F.col("by") == name) & (F.col(name) == F.col("value")))
-    columns = ["id", *apart, *carried, *PARITIES]
+    columns = ["id", *apart, *carried, *tested]
     marked = lists.join(bulk, "shingle").select("shingle", *columns, of_bulk.alias("of_bulk"))
     marked = stored(marked, "marked")
     one = marked.where("not of_bulk").select("shingle", F.struct(*columns).alias("x"))
@@ -267,9 +276,9 @@ def _met(lists: DataFrame, apart: list[str], carried: list[str], plausible: Colu
     first = F.col("x.id") < F.col("y.id")
     sides = [("a", F.when(first, F.col("x")).otherwise(F.col("y"))), ("b", F.when(first, F.col("y")).otherwise(F.col("x")))]
     met = met.select(*[c.alias(side) for side, c in sides])
-    named = [F.col(f"{side}.{c}").alias(f"{c}_{side}") for c in [*carried, *PARITIES] for side in ("a", "b")]
+    named = [F.col(f"{side}.{c}").alias(f"{c}_{side}") for c in [*carried, *tested] for side in ("a", "b")]
     met = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), *named).where(plausible)
-    met = met.drop(*[f"{p}_{side}" for p in PARITIES for side in ("a", "b")])
+    met = met.drop(*[f"{c}_{side}" for c in tested for side in ("a", "b")])
     return met.groupBy(*met.columns).agg(F.count("*").alias("shared"))
 
 
@@ -280,7 +289,8 @@ def families(pairs: DataFrame) -> DataFrame:
 
 
 def family_links(family: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) known from the weights, and the lists of first differences by which others may be found."""
+    """Links (a, b) known from the weights, and (a, id, n, w, behind, found): a document's differences from its leader
+    ``a`` that others of the family share, the rarest first, all but ``behind`` of them being its first ones."""
     named = family.select(F.col("a").alias("doc_id")).union(family.select("b")).distinct()
     cut = stored(segments(_among(rows, named, "left_semi")), "segments")
     left = cut.select(F.col("id").alias("a"), "fragment", F.col("segment").alias("of_a"))
@@ -315,20 +325,78 @@ def family_links(family: DataFrame, rows: DataFrame, percent: int) -> tuple[Data
     rare = rare.agg(F.array_sort(F.collect_list(F.struct("k", "d", "lack"))).alias("found"))
     # Differences that no other document of the family has come first and are met by none.
     length = F.size("found") - F.col("behind")
-    first = open_ends.join(rare, ["a", "b"]).where(length > 0)
-    lists = first.withColumn("f", F.explode(F.slice("found", F.lit(1), length.cast("int"))))
-    lists = lists.select(
-        F.struct("a", "f.d", "f.lack").alias("shingle"), F.col("b").alias("id"), "n", "w", "behind"
+    profiles = open_ends.join(rare, ["a", "b"]).where(length > 0)
+    profiles = profiles.select("a", F.col("b").alias("id"), "n", "w", "behind", F.col("found.d").alias("found"))
+    return sure, stored(profiles, "profiles", kept=True)
+
+
+def family_lists(profiles: DataFrame, percent: int) -> DataFrame:
+    """(shingle, id, n, w, reach): the lists of first differences, without the rows that reach nobody or that nobody
+    reaches. What one document lacks of the leader no other has besides it, so the hash alone tells differences apart."""
+    size = F.size("found")
+    first = F.slice("found", F.lit(1), (size - F.col("behind")).cast("int"))
+    lists = profiles.select("a", "id", "n", "w", size.alias("size"), F.posexplode(first).alias("before", "d"))
+    reach = 2 * (100 + percent) * (F.col("size") - F.col("before")) - F.col("w")
+    lists = lists.select(F.struct("a", "d").alias("shingle"), "id", "n", "w", reach.alias("reach"))
+    ends = lists.groupBy("shingle").agg(F.min("w").alias("least"), F.max("reach").alias("most"), F.count("*").alias("k"))
+    lists = lists.join(ends.where("k > 1"), "shingle").where("w <= most and least <= reach")
+    return stored(lists.select("shingle", "id", "n", "w", "reach"), "family-lists", kept=True)
+
+
+def _reached() -> Column:
+    """Documents of a family whose weights are both within the other's reach."""
+    return (F.col("w_a") + F.col("w_b") > 0) & (F.col("w_a") <= F.col("reach_b")) & (F.col("w_b") <= F.col("reach_a"))
+
+
+def _alike(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b, w_a, w_b) within families that share differences enough."""
+    left = profiles.select(F.col("id").alias("a"), F.col("found").alias("of_a"))
+    right = profiles.select(F.col("id").alias("b"), F.col("found").alias("of_b"))
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    enough = 2 * (100 + percent) * common >= F.col("w_a") + F.col("w_b")
+    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
+
+
+def _pairs_to_come(lists: DataFrame) -> tuple[int, int]:
+    """Rows of the lists with more than one component, and the pairs of rows of different components in them."""
+    sizes = lists.groupBy("shingle", "component").agg(F.count("*").alias("k"))
+    each = sizes.groupBy("shingle").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"))
+    each = each.where(F.col("all") * F.col("all") > F.col("same"))
+    total = each.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()
+    return total[0] or 0, int(total[1] or 0)
+
+
+def hub_links(lists: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Links of documents with the lightest one of a list, if it is in another component: no more pairs than rows."""
+    hubs = lists.groupBy("shingle").agg(F.min(F.struct("w", "id", "component", "reach")).alias("h"))
+    near = lists.join(hubs, "shingle").where("component <> h.component")
+    near = near.select(
+        F.col("h.id").alias("a"), F.col("id").alias("b"), F.col("h.w").alias("w_a"), F.col("w").alias("w_b"),
+        F.col("h.reach").alias("reach_a"), F.col("reach").alias("reach_b"),
     )
-    return sure, stored(lists, "family-lists", kept=True)
+    return _alike(near.where(_reached()).select("a", "b", "w_a", "w_b").distinct(), profiles, percent)
+
 
+def joined_by_hubs(
+    links: DataFrame, found: DataFrame, lists: DataFrame, profiles: DataFrame, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """``links`` and their components ``found`` after comparisons with the lightest of each list, as long as these at least
+    halve the pairs to come and there are many."""
+    rows, pairs = _pairs_to_come(_with_component(lists, found))
+    before = 2 * pairs
+    while pairs > HUB_PAIRS * rows and 2 * pairs <= before:
+        new = stored(hub_links(_with_component(lists, found), profiles, percent), "hub-links")
+        links = links.union(new)
+        found = components(links)
+        before = pairs
+        rows, pairs = _pairs_to_come(_with_component(lists, found))
+    return links, found
 
-def family_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n_a, n_b): pairs of different components within families that may be linked."""
-    sums = F.col("w_a") + F.col("w_b")
-    met = _met(lists, ["component"], ["n", "w", "behind"], (sums > 0) & _alike_enough(percent))
-    likely = (F.col("shared") + F.greatest("behind_a", "behind_b")) * 2 * (100 + percent) >= sums
-    return met.where(likely).select("a", "b", "n_a", "n_b")
+
+def family_pairs(lists: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of documents of different components within families, all that the components lack."""
+    met = _met(lists, ["component"], ["n", "w"], [*PARITIES, "reach"], _reached() & _alike_enough(percent))
+    return _alike(met.select("a", "b", "w_a", "w_b"), profiles, percent)
 
 
 def _among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -392,16 +460,17 @@ def jaccard_classes(
     first = stored(star_pairs(lists, percent), "stars")
     family = stored(families(first), "families")
     with passing_tables(docs.sparkSession):
-        sure, differences = family_links(family, rows, percent)
+        sure, profiles = family_links(family, rows, percent)
+        differences = family_lists(profiles, percent)
         links = stored(linked(first, rows, percent).union(sure), "links", kept=True)
-    found = components(links)
+    links, found = joined_by_hubs(links, components(links), differences, profiles, percent)
     family = family.select(F.col("b").alias("id"), F.col("a").alias("family"))
     current = _with_component(lists, found).join(family, "id", "left")
     current = current.withColumn("family", F.coalesce("family", "id"))
     odd = vertices.select(F.col("v.doc_id").alias("id"), *[f"v.{name}" for name in PARITIES])
     pairs = cross_pairs(current.join(odd, "id"), percent).select("a", "b", "n_a", "n_b")
-    pairs = pairs.unionByName(family_pairs(_with_component(differences, found).join(odd, "id"), percent))
     links = links.union(linked(stored(pairs, "pairs"), rows, percent))
+    links = links.union(stored(family_pairs(_with_component(differences, found).join(odd, "id"), profiles, percent), "alike"))
     member = vertices.select("sig1", "sig2", F.col("v.doc_id").alias("id"))
     if not once:
         of_id = ids.select("doc_id", "sig1", "sig2").join(member, ["sig1", "sig2"]).select("doc_id", F.col("id").alias("b"))

@@ -116,6 +116,36 @@ def test_jaccard_families(spark):
     assert got == {i: (len(s), label[i]) for i, s in enumerate(sets)}
 
 
+def test_jaccard_families_meet_in_proportion(spark, monkeypatch):
+    """Two families: copies that are linked beside copies edited at too many places to be linked with any, and copies
+    linked with each other but not with their leader. Their rows of different components that meet stay few."""
+    rng = np.random.default_rng(11)
+
+    def edited(name, i, places):
+        copy = [f"{name}{k}" for k in range(150)]
+        for at in rng.choice(150, places, replace=False):
+            copy[at] = f"edit{i}x{at}"
+        return (i, " ".join(copy))
+
+    rows = [edited("a", i, 2 if i < 40 else 7 + i % 3) for i in range(140)]
+    rows += [edited("b", 1000 + i, 2 if i else 9) for i in range(60)]
+    pairs = collections.Counter()
+    met = jaccard._met
+
+    def counted(lists, apart, *rest):
+        if apart == ["component"]:
+            k = lists.groupBy("shingle", "component").agg(F.count("*").alias("k"))
+            k = k.groupBy("shingle").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("m"))
+            pairs.update({r.a: int(r.m) for r in k.groupBy("shingle.a").agg(F.sum("m").alias("m")).collect()})
+        return met(lists, apart, *rest)
+
+    monkeypatch.setattr(jaccard, "_met", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {tuple(r) for r in jaccard.jaccard_classes(docs).collect()}
+    assert got == shingle_labels(rows)
+    assert max(pairs[0], pairs[1000]) <= len(rows)
+
+
 def test_quality(odd, nothing):
     for r in quality.with_measures(odd).collect():
         t, w = r.text or "", words(r.text)
