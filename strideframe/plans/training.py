@@ -33,6 +33,7 @@ from strideframe.operators.metrics import (
 )
 from strideframe.operators.scale import fit_scaler, scaler_stage
 from strideframe.operators.split import TEST, TRAIN, sequential_split, split_balance
+from strideframe.plans.boosting import fit_boosted
 from strideframe.plans.hyperparameters import FAMILIES, HYPERPARAMETERS, boosting_params, forest_params
 from strideframe.sources.tables import run_record, write_importances, write_run
 from strideframe.storage import shared_dir
@@ -109,7 +110,9 @@ def fit_classifier(
     prepared = prepare(indexed, stages, ["_label", "weight"]).persist()
     shared_dir(train.sparkSession)  # forests checkpoint the rows' nodes there
     try:
-        fitted = classifier_estimator(family, params, len(indexer.labels), prepared.count()).fit(prepared)
+        estimator = classifier_estimator(family, params, len(indexer.labels), prepared.count())
+        boosted = family == "LGBM"
+        fitted = fit_boosted(prepared, estimator, len(indexer.labels)) if boosted else estimator.fit(prepared)
     finally:
         prepared.unpersist()
     names = IndexToString(inputCol="_prediction", outputCol=PREDICTION, labels=indexer.labels)
