@@ -388,7 +388,7 @@ def fit_boosted(prepared: DataFrame, estimator: OneVsRest, n_classes: int) -> On
     size = features_per_node(base.getFeatureSubsetStrategy(), n_features)
     blocks = binned_blocks(prepared, points, n_classes, n_trees, base.getSubsamplingRate(), seed)
     state = blocks.rdd.map(first_state(n_features, n_classes, n_trees, np.min_scalar_type(max(n_points))))
-    state = state.persist(StorageLevel.MEMORY_AND_DISK)
+    state = state.persist(StorageLevel.MEMORY_AND_DISK_DESER)
     grown: list[list[dict]] = []
     written = None
     try:
@@ -396,7 +396,7 @@ def fit_boosted(prepared: DataFrame, estimator: OneVsRest, n_classes: int) -> On
             before = None
             if number:
                 before, state = state, state.map(moved(grown[-1], 1.0 if number == 1 else base.getStepSize()))
-                state.persist(StorageLevel.MEMORY_AND_DISK)
+                state.persist(StorageLevel.MEMORY_AND_DISK_DESER)
             interval = base.getCheckpointInterval()
             due = interval > 0 and number > 0 and number % interval == 0
             if due:
