@@ -16,10 +16,11 @@ import heapq
 import json
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,9 @@ LONG = 64
 #: Characters of text whose words are looked up together.
 CHUNK = 500_000
 
+#: Rows whose ids and decoded texts a worker holds at a time.
+SLICE = 500
+
 #: Fixed value: the split of byte-level vocabularies into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -411,15 +415,19 @@ def bpe_codec(path: str) -> tuple[Callable[[Column], Column], Callable[[Column],
 
 
 def round_trip(path: str) -> Callable[[Column], Column]:
-    """A column function: a text to a struct of ``ids`` and ``decoded``, each text encoded once."""
+    """A column function: a text to a struct of ``ids`` and ``decoded``, each text encoded once. Results leave in
+    batches of ``SLICE`` rows: those of a whole batch of Spark's would stand in the worker and in the JVM at once."""
     with open(path, "rb") as f:
         spec = f.read()
 
-    @F.pandas_udf("ids binary, decoded string")
-    def both(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("ids binary, decoded string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = codec(spec)
-        ids = bpe.encode_all([t or "" for t in texts])
-        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(map(bpe.decode, ids), dtype=object)})
+        for texts in batches:
+            for i in range(0, len(texts), SLICE):
+                ids = bpe.encode_all([t or "" for t in texts.slice(i, SLICE).to_pylist()])
+                columns = [pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())]
+                yield pa.StructArray.from_arrays(columns, ["ids", "decoded"])
 
     return both
 

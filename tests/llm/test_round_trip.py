@@ -1,5 +1,6 @@
 """The round trip encodes each text once, and gives what encoder and decoder give one after the other."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -21,3 +22,15 @@ def test_each_text_is_encoded_once(spark):
         "doc_id", (F.octet_length("ids") / 4).cast("long"), F.sha2("ids", 256), F.sha2(decode("ids"), 256)
     )
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, twice.collect()))
+
+
+def test_results_leave_in_bounded_batches(spark):
+    """A batch of Spark's holds 10,000 rows; results come back in smaller ones, in order, none missing."""
+    docs = spark.range(2 * bpe.SLICE + 7, numPartitions=1).select(F.col("id").alias("doc_id"), F.format_string("one %d two", "id").alias("text"))
+    both = bpe.round_trip(PATH)
+    sizes = []
+    for n in (0, 1, bpe.SLICE, 2 * bpe.SLICE + 7):
+        sizes.append([len(x) for x in both.func(iter([pa.array([f"one {i}" for i in range(n)], pa.string())]))])
+    assert sizes == [[], [1], [bpe.SLICE], [bpe.SLICE, bpe.SLICE, 7]]
+    rows = bpe.with_round_trip(docs, PATH).select("doc_id", "text", "decoded").collect()
+    assert len(rows) == 2 * bpe.SLICE + 7 and all(r.text == r.decoded == f"one {r.doc_id} two" for r in rows)
