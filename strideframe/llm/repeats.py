@@ -37,8 +37,8 @@ from strideframe.storage import materialise, passing_tables
 LENGTH = 100
 GRAM = 32
 
-#: Bytes whose anchors are found together; a place must fit into 24 bits.
-PIECE = 1 << 22
+#: Bytes whose anchors are found together; a place must fit into 24 bits, and the arrays into a core's cache.
+PIECE = 1 << 16
 
 #: Bytes in a shard (about), and the different segments of an anchor that a shard takes.
 SHARD_BYTES = 1 << 20
@@ -92,9 +92,8 @@ def anchored_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     inside = np.cumsum(inside[:-1]) > 0
     new = inside.copy()
     new[1:] &= (anchor[1:] != anchor[:-1]) | ~inside[:-1]
+    new[starts[long]] = True  # texts may touch: a window that starts a text starts a run
     first = np.flatnonzero(new)
-    # texts may touch: a window that starts a text starts a run
-    first = np.union1d(first, starts[long])
     owner = np.searchsorted(starts, first, "right") - 1
     stop = np.minimum(np.r_[first[1:], len(anchor)], ends[owner] - LENGTH + 1)
     return grams[anchor[first]], first, stop - first
@@ -159,17 +158,19 @@ def segments(rows: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
-                part, out = batch.slice(i, 200), []
-                for key, twin, data, runs in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    for r in runs:
-                        piece = data[r["at"] : r["at"] + r["run"] + LENGTH - 1]
-                        d = xxhash.xxh3_128_intdigest(piece)
-                        high, low = (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
-                        out.append((r["anchor"], high, low, piece, key, twin, r["at"]))
-                names = ["anchor", "d1", "d2", "segment", "key", "twin", "at"]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
-                columns = zip(*out, strict=True) if out else [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+                part = batch.slice(i, 200)
+                texts, runs = part.column(2).to_pylist(), part.column(3).flatten()
+                row = np.repeat(np.arange(len(texts)), part.column(3).value_lengths().to_numpy())
+                at = runs.field("at").to_numpy()
+                ends = at + runs.field("run").to_numpy() + LENGTH - 1
+                pieces = [texts[r][a:b] for r, a, b in zip(row.tolist(), at.tolist(), ends.tolist(), strict=True)]
+                digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), ">u8").reshape(-1, 2).astype(np.uint64)
+                halves = (digests ^ np.uint64(1 << 63)).view(np.int64)
+                key, twin = part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [runs.field("anchor"), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(pieces, pa.binary()), key, twin, pa.array(at)],
+                    ["anchor", "d1", "d2", "segment", "key", "twin", "at"],
+                )
 
     return rows.mapInArrow(cut, "anchor long, d1 long, d2 long, segment binary, key long, twin string, at long")
 
@@ -183,10 +184,10 @@ def later_windows(shard: pd.DataFrame) -> pd.DataFrame:
     joined = np.frombuffer(b"".join(pieces), np.uint8)
     s[np.arange(len(joined)) + np.repeat(np.arange(len(n)), n)] = joined.astype(np.int16) + 1
     found = suffix_array(s, LENGTH)
-    common = permuted_prefixes(s, found, LENGTH)
-    owner = np.repeat(np.arange(len(n)), n + 1)
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
     within = np.arange(len(s)) - starts[owner]
     window = n[owner] - within >= LENGTH
+    common = permuted_prefixes(s, found, LENGTH, np.flatnonzero(window))
     ordered = found[window[found]]
     # windows equal to the one before; between them stand no other suffixes
     group = np.cumsum(common[ordered] < LENGTH)
@@ -284,10 +285,11 @@ def _repeated_spans(docs: DataFrame, record_id: str, text: str) -> tuple[DataFra
         whole = whole.join(once, ["key", "digest"], "left_anti").select("key", "data").union(first.select("key", "data"))
     whole = _told_apart(whole, several)
 
-    runs = anchors(whole)
-    often = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     with passing_tables(docs.sparkSession):
-        met = stored(runs.join(often, "anchor"), "runs")
+        with passing_tables(docs.sparkSession):
+            runs = stored(anchors(whole), "runs")  # read twice, found once
+            often = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+            met = stored(runs.join(often, "anchor"), "met", kept=True)
         per_document = met.groupBy("key", "twin").agg(F.collect_list(F.struct("anchor", "at", "run")).alias("runs"))
         ids = materialise(met.select("key").distinct())
         cut = _among(whole, ids, "left_semi").join(per_document, ["key", "twin"]).select("key", "twin", "data", "runs")
@@ -319,13 +321,30 @@ def _repeated_spans(docs: DataFrame, record_id: str, text: str) -> tuple[DataFra
     return copies, stored(alone.union(spans.where("twin <> ''").select("key", "twin", "spans")), "spans", kept=True)
 
 
-def removed(size: int, spans: list) -> np.ndarray:
-    """True for the bytes that go."""
-    change = np.zeros(size + 1, np.int32)
-    for s in spans:
-        change[s["at"]] += 1
-        change[s["end"]] -= 1
-    return np.cumsum(change[:-1]) > 0
+def without_spans(texts: list[bytes], spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(bytes that go, maximal runs of them, bytes that stay) of each text. Spans overlap and come in any order; a text
+    without any may have null."""
+    counts = np.array([n or 0 for n in spans.value_lengths().to_pylist()], np.int64)
+    row = np.repeat(np.arange(len(texts)), counts)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    base = np.cumsum(lengths + 1) - (lengths + 1)  # all texts in one line, with a place between them
+    flat = spans.flatten()
+    at, end = flat.field("at").to_numpy() + base[row], flat.field("end").to_numpy() + base[row]
+    order = np.argsort(at)
+    at, reach, row = at[order], np.maximum.accumulate(end[order]), row[order]
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] > reach[:-1]
+    first, row = at[new], row[new]
+    last = reach[np.r_[np.flatnonzero(new)[1:] - 1, len(at) - 1]] if len(at) else first
+    gone = np.zeros(len(texts), np.int64)
+    np.add.at(gone, row, last - first)
+    parts: list[list[bytes]] = [[] for _ in texts]
+    done = [0] * len(texts)
+    for r, a, b in zip(row.tolist(), (first - base[row]).tolist(), (last - base[row]).tolist(), strict=True):
+        parts[r].append(texts[r][done[r] : a])
+        done[r] = b
+    kept = [b"".join([*p, t[d:]]) for p, t, d in zip(parts, texts, done, strict=True)]
+    return gone, np.bincount(row, minlength=len(texts)), kept
 
 
 def with_kept_bytes(
@@ -346,13 +365,10 @@ def with_kept_bytes(
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
-                counts, kept = [], []
-                for data, found in zip(_binary(part["data"]), part["spans"].to_pylist(), strict=True):
-                    gone = removed(len(data), found or [])
-                    counts.append((len(data), int(gone.sum()), int((np.diff(np.r_[False, gone].astype(np.int8)) == 1).sum())))
-                    left = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                    kept.append(left.decode(errors="ignore") if as_text else hashlib.sha256(left).digest())
-                numbers = [pa.array(list(c), pa.int64()) for c in zip(*counts, strict=True)]
+                texts = _binary(part["data"])
+                gone, runs, left = without_spans(texts, part["spans"])
+                kept = [x.decode(errors="ignore") if as_text else hashlib.sha256(x).digest() for x in left]
+                numbers = [pa.array([len(t) for t in texts], pa.int64()), pa.array(gone), pa.array(runs.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(
                     [part["_row"], *numbers, pa.array(kept, kind)], ["_row", "n_bytes", "n_removed", "n_spans", "kept"]
                 )

@@ -82,12 +82,12 @@ def induce(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray) -> np.ndarray
 def ranks_to_depth(names: np.ndarray, depth: int) -> np.ndarray:
     """Order of the suffixes of ``names`` by their first ``depth`` names at least."""
     m, k, rank = len(names), 1, names.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)  # equals may stand in any order: their ranks are equal
     while k < depth:
         follow = np.zeros(m, np.int64)
         follow[:-k] = rank[k:] + 1
         key = rank * (m + 2) + follow
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = np.zeros(m, np.int64)
         rank[order[1:]] = np.cumsum(np.diff(key[order]) != 0)
         if rank.max() == m - 1:
@@ -122,23 +122,36 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     names = np.zeros(len(leftmost), np.int64)
     names[number[by_substring]] = np.cumsum(np.r_[0, ~same])
     if names.max() < len(leftmost) - 1:
-        leftmost = leftmost[ranks_to_depth(names, depth)]
+        leftmost = leftmost[ranks_to_depth(names, depth // 2 + 1)]  # a name stands for two symbols at least
     else:
         leftmost = by_substring
     return induce(s, small, leftmost)
 
 
-def permuted_prefixes(s: np.ndarray, found: np.ndarray, most: int) -> np.ndarray:
-    """By place in the text: common prefix of a suffix with the one before it in the array, up to ``most``."""
-    before = np.full(len(s), -1, np.int64)
+def permuted_prefixes(s: np.ndarray, found: np.ndarray, most: int, places: np.ndarray | None = None) -> np.ndarray:
+    """By place in the text: common prefix of a suffix with the one before it in the array, up to ``most``; with
+    ``places``, of the suffixes there, and 0 elsewhere. Symbols are compared packed into words, as many as fit."""
+    n, out = len(s), np.zeros(len(s), np.int64)
+    before = np.full(n, -1, np.int32 if n < 1 << 31 else np.int64)
     before[found[1:]] = found[:-1]
-    out = np.zeros(len(s), np.int64)
-    live = np.flatnonzero(before >= 0)
-    padded = np.r_[s, np.full(most, -1, s.dtype if s.dtype.kind == "i" else np.int32)]
-    for k in range(most):
-        live = live[padded[live + k] == padded[before[live] + k]]
-        live = live[np.maximum(live, before[live]) + k < len(s)]
-        if not len(live):
-            break
-        out[live] = k + 1
-    return out
+    live = np.arange(n) if places is None else places
+    live = live[before[live] >= 0]
+    if not len(live):
+        return out
+    bits = int(int(s.max()) - int(s.min()) + 1).bit_length()
+    per = 63 // bits
+    padded = np.zeros(n + most + 2 * per, np.int64)  # 0 stands behind the end only
+    padded[:n] = s.astype(np.int64) - int(s.min()) + 1
+    packed = np.zeros(n + most + per, np.int64)
+    for j in range(per):
+        packed = (packed << bits) | padded[j : j + len(packed)]
+    k = 0
+    while len(live) and k < most:
+        differ = packed[live + k] ^ packed[before[live] + k]
+        ends = differ != 0
+        last = differ[ends]
+        out[live[ends]] = k + sum((last >> bits * (per - j) == 0).astype(np.int64) for j in range(1, per))
+        live = live[~ends]
+        k += per
+    out[live] = most
+    return np.minimum(out, most)

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -380,3 +381,37 @@ def test_licenses_of_several_notices(spark):
         docs = spark.createDataFrame(rows + more, "doc_id long, text string")
         for r in licenses.with_licenses(docs).where("doc_id >= 0").collect():
             assert (r.labels, r.score) == scanned(texts[r.doc_id])
+
+
+def test_prefixes_by_words_of_symbols():
+    """Common prefixes against a look at every symbol; only those of the places asked for are compared."""
+    random = np.random.default_rng(3)
+    for case in range(300):
+        s = random.integers(0, (2, 4, 257)[case % 3], random.integers(1, 80)).astype(np.int16)
+        s = np.r_[s, s][: random.integers(1, 120)]
+        found, most = suffixes.suffix_array(s, len(s) + 1), int(random.integers(1, 40))
+        want = np.zeros(len(s), int)
+        for a, b in zip(found, found[1:], strict=False):
+            while want[b] < most and max(a, b) + want[b] < len(s) and s[a + want[b]] == s[b + want[b]]:
+                want[b] += 1
+        some = np.flatnonzero(random.random(len(s)) < 0.5)
+        assert suffixes.permuted_prefixes(s, found, most).tolist() == want.tolist()
+        assert suffixes.permuted_prefixes(s, found, most, some).tolist() == np.where(np.isin(np.arange(len(s)), some), want, 0).tolist()
+
+
+def test_texts_without_their_spans():
+    """Overlapping, touching and repeated spans of many texts at once against marks on every byte."""
+    random, kind = np.random.default_rng(5), pa.list_(pa.struct([("at", pa.int64()), ("end", pa.int64())]))
+    texts = [random.integers(97, 123, random.integers(0, 40)).astype(np.uint8).tobytes() for _ in range(400)]
+    spans = []
+    for t in texts:
+        cuts = [sorted(random.integers(0, len(t) + 1, 2).tolist()) for _ in range(random.integers(0, 5))]
+        spans.append([{"at": a, "end": b} for a, b in cuts if a < b] if random.random() < 0.8 else None)
+    gone, runs, kept = repeats.without_spans(texts[100:], pa.array(spans, kind).slice(100))
+    for i, (t, found) in enumerate(zip(texts[100:], spans[100:], strict=True)):
+        marks = np.zeros(len(t), bool)
+        for x in found or []:
+            marks[x["at"] : x["end"]] = True
+        assert gone[i] == marks.sum() and runs[i] == (np.diff(np.r_[0, marks]) == 1).sum()
+        assert kept[i] == bytes(b for b, m in zip(t, marks, strict=True) if not m)
+    assert repeats.without_spans([], pa.array([], kind))[2] == [] and repeats.without_spans([b"a"], pa.array([None], kind))[2] == [b"a"]
